@@ -148,3 +148,34 @@ def ranges_of(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def binary_column(pieces: list[bytes]) -> pa.Array:
     return pa.array(pieces, pa.binary())
+
+
+def slide(pick, values: np.ndarray, width: int) -> np.ndarray:
+    """``pick`` (minimum or maximum) over each run of ``width`` values."""
+    if len(values) < width:
+        return values[:0]
+    out, span = values, 1
+    while span * 2 <= width:
+        out = pick(out[:-span], out[span:])
+        span *= 2
+    rest = width - span
+    return pick(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def join_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranges: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's (kept) words joined by one space: bytes and offsets."""
+    doc = owners(ranges)
+    if keep is not None:
+        starts, ends, doc = starts[keep], ends[keep], doc[keep]
+    n = len(ranges) - 1
+    counts = np.bincount(doc, minlength=n)
+    chars = np.bincount(doc, weights=ends - starts, minlength=n).astype(np.int64)
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1
+    mask = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
+    gaps = ends[:-1][doc[:-1] == doc[1:]] if len(ends) else ends
+    out = data.copy()
+    out[gaps] = 0x20
+    mask[gaps] = True
+    return out[mask], np.concatenate([[0], np.cumsum(chars + np.maximum(counts - 1, 0))])

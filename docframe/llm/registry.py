@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -19,6 +23,22 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A-Z to a-z alone; DuckDB's lower() folds all letters.
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k
+  FROM win JOIN (SELECT h, min(doc_id) AS least FROM win GROUP BY h) USING (h) WHERE doc_id > least
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS words
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d) ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+), lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
 OP8_SQL = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -43,8 +63,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_QUERIES: dict[str, Query] = {"op8_decontaminate": op8_decontaminate}
-_SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+_QUERIES: dict[str, Query] = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op8_decontaminate": op8_decontaminate,
+}
+_SQL: dict[str, str] = {
+    "op4_substring_dedup": OP4_SQL,
+    "op8_decontaminate": OP8_SQL,
+}
 
 
 def queries() -> dict[str, Query]:
