@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, substring_dedup
+from . import decontaminate, minhash, mixing, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("positions")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM s
+), c AS (SELECT *, turn % 3 + 1 AS weight, 3 * source_size AS cap FROM r
+), o AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS words
+  FROM c
+), l AS (SELECT *, CAST(words - capped AS DOUBLE) / CAST(rest AS DOUBLE) AS level FROM o
+), t AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT arg_min(level, (cap / weight, turn)) FROM l WHERE level * weight <= cap) * weight) AS target FROM l
+), placed AS (
+  SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS budget,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), p AS (SELECT *, coalesce(budget // nullif(source_size, 0), 0) AS passes FROM placed)
+SELECT doc_id, size, source_size, target, CAST(size * passes + least(greatest(budget - passes * source_size - before, 0), size) AS BIGINT) AS taken FROM p
+"""
+
 OP8_SQL = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -86,11 +110,13 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 _QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_mixing": op5_mixing,
     "op8_decontaminate": op8_decontaminate,
 }
 _SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op5_mixing": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
 }
 
