@@ -37,7 +37,7 @@ from . import kernels as K
 from .common import by_slices, list_column
 
 BITS = 20
-LABELLED, POOL, ROUNDS = 8000, 8000, 3
+LABELLED, POOL, ROUNDS = 6000, 4000, 3
 EVIDENCE, FACTS, STEPS, RIDGE = 11.0, 3000, 200, 0.3
 CONFIDENT, THRESHOLD = 0.99, 0.5
 FAST_STEP = 0x9E3779B97F4A7C15
