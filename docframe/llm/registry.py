@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing, quality, secrets, substring_dedup
+from . import decontaminate, line_dedup, minhash, mixing, quality, secrets, substring_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 #: A-Z to a-z alone; DuckDB's lower() folds all letters.
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -123,6 +127,7 @@ _QUERIES: dict[str, Query] = {
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op8_decontaminate": op8_decontaminate,
+    "op9_line_dedup": op9_line_dedup,
 }
 _SQL: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
