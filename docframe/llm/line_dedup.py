@@ -103,8 +103,9 @@ def edit_distance_within(left: str, right: str, threshold: int) -> Column:
 def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> DataFrame:
     """(id) of lines of which another one within the threshold stands earlier."""
     found = lines(docs, shortest)
-    place = F.struct("doc_id", "line_no")
-    distinct = found.groupBy("id").agg(F.first("line").alias("line"), F.min(place).alias("first"))
+    # One struct, so that all readers below share one shuffle of the lines.
+    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("head"))
+    distinct = distinct.select("id", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"))
     index = distinct.select(F.explode(_keys(threshold, probe=False)).alias("key"), F.col("id").alias("x"))
     probe = distinct.select(F.explode(_keys(threshold, probe=True)).alias("key"), F.col("id").alias("y"))
     pairs = index.join(probe, "key").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
