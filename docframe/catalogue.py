@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of the tables, with its SQL."""
+
+    def add(body: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: body(Tables(spark, sf_dir))
+        if sql:
+            SQL[name] = sql
+        return body
+
+    return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _load() -> None:
+    from docframe import queries_functions, queries_relational, queries_tables  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by nation of urgent orders: joins, filter, grouping, HAVING."""
-    line, orders, customer, nation = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
-    return (
-        line.join(orders, line.l_orderkey == orders.o_orderkey)
-        .where(F.col("o_orderstatus") == "F")
-        .join(customer, F.col("o_custkey") == customer.c_custkey)
-        .join(nation, F.col("c_nationkey") == nation.n_nationkey)
-        .groupBy("n_name")
-        .agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
-        .where(F.col("n_lines") > 10)
-    )
+    _load()
+    return QUERIES["join_chain"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {"flagship": flagship}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
