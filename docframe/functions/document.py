@@ -28,7 +28,10 @@ def json_type(doc, path: str = "$") -> Column:
 
 
 def json_valid(doc) -> Column:
-    return F.try_parse_json(col(doc)).isNotNull()
+    """One value and nothing behind it; the parser alone would stop after the first value."""
+    whole = F.try_parse_json(F.concat(F.lit("["), col(doc), F.lit("]")))
+    first, second = (F.try_variant_get(whole, f"$[{i}]", "variant") for i in (0, 1))
+    return F.coalesce(first.isNotNull() & second.isNull(), F.lit(False))
 
 
 def json_array_contains(doc, value, kind: str = "bigint") -> Column:

@@ -59,7 +59,7 @@ def insert_ignore(t) -> DataFrame:
     return db.read("customer")
 
 
-@query("insert_replace", f"{_KEPT} WHERE c_custkey % 20 <> 0 OR c_custkey = 0 UNION ALL SELECT * FROM {_NEW} WHERE c_custkey <> 0")
+@query("insert_replace", f"{_KEPT} WHERE c_custkey % 20 <> 0 UNION ALL SELECT * FROM {_NEW}")
 def insert_replace(t) -> DataFrame:
     db = database(t)
     db.insert("customer", _changes(t), "replace")
