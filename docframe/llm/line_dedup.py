@@ -13,9 +13,10 @@ on.  Each is cut into threshold + 1 segments; two lines within the threshold
 share one of the shorter line's segments, at a place that the lengths bound.  So
 each line is indexed by (length, segment number, segment) and probes the index
 of each length up to ``THRESHOLD`` less with the substrings that the
-multi-match-aware bounds allow.  Pairs that meet are verified with the banded
-bit-parallel recurrence, one step for each character over a band of
-2 * threshold + 1 bits.
+multi-match-aware bounds allow.  Pairs that meet, and whose words' parities differ in no more bits
+than the threshold's edits can flip, are verified with the banded bit-parallel
+recurrence: one step for each character between the first and the last
+difference, over a band of 2 * threshold + 1 bits.
 
 Lines are known by a 64-bit hash; a second hash tells collisions, and lines that
 collide stay.  Null texts have no lines.  Documents without doc_id are left
@@ -56,6 +57,30 @@ def _keys(threshold: int, probe: bool) -> Column:
     return F.array(*out)
 
 
+def word_parity(text: str) -> Column:
+    """31 bits, each the parity of how many words hash to it.
+
+    An edit changes one word, or joins two, or splits one: it flips three bits at most.
+    """
+    return F.aggregate(F.split(text, " "), F.lit(0), lambda m, w: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.pmod(F.xxhash64(w), F.lit(31)).cast("int"))))
+
+
+def common_start(left: Column, right: Column, most: Column) -> Column:
+    """How many characters two strings share at the start, up to ``most``; found by halving steps."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(20))])
+    same = lambda n, s: (n + s <= most) & (F.substring(left, n + 1, s) == F.substring(right, n + 1, s))
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(same(n, s), n + s).otherwise(n))
+
+
+def trimmed(pairs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (p, q) without what they share at both ends, but for a few characters; the distance stays."""
+    room = F.least(F.char_length("p"), F.char_length("q")) - (4 * threshold + 4)
+    start = pairs.withColumn("_a", common_start(F.col("p"), F.col("q"), room))
+    ends = start.withColumn("_b", common_start(F.reverse("p"), F.reverse("q"), room - F.col("_a")))
+    cut = lambda c: F.substring(F.col(c), F.col("_a") + 1, F.char_length(c) - F.col("_a") - F.col("_b")).alias(c)
+    return ends.select(*[cut(c) if c in ("p", "q") else F.col(c) for c in pairs.columns])
+
+
 def edit_distance_within(left: str, right: str, threshold: int) -> Column:
     """Whether two strings are within ``threshold`` edits, by a banded bit-parallel recurrence.
 
@@ -80,6 +105,7 @@ def edit_distance_within(left: str, right: str, threshold: int) -> Column:
             vp, vn = a["vp"], a["vn"]
             one = F.transform(F.array(match), lambda m: m.bitwiseAND(vp).__add__(vp).bitwiseXOR(vp).bitwiseOR(m).bitwiseOR(vn).bitwiseAND(F.lit(mask)))
             two = F.transform(one, lambda d0: F.struct(d0.alias("d0"), vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(F.lit(mask))).alias("hp"), d0.bitwiseAND(vp).alias("hn")))
+            enough = a["d"] > 2 * k + F.greatest(F.size(text["t"]) - rows, F.lit(0))  # what follows can't bring it back
             bit = F.greatest(2 * k - (j - (rows - k)), F.lit(0))  # of the last row, past the diagonal
 
             def close(v: Column) -> Column:
@@ -93,7 +119,7 @@ def edit_distance_within(left: str, right: str, threshold: int) -> Column:
                     (a["d"] + F.when(j <= rows - k, diagonal).otherwise(across)).alias("d"),
                 )
 
-            return F.get(F.transform(two, close), F.lit(0))
+            return F.when(enough, a).otherwise(F.get(F.transform(two, close), F.lit(0)))
 
         return F.aggregate(F.sequence(F.lit(1), F.size(text["t"])), start, step, lambda a: a["d"] <= threshold)
 
@@ -105,14 +131,15 @@ def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, thres
     found = lines(docs, shortest)
     # One struct, so that all readers below share one shuffle of the lines.
     distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("head"))
-    distinct = distinct.select("id", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"))
-    index = distinct.select(F.explode(_keys(threshold, probe=False)).alias("key"), F.col("id").alias("x"))
-    probe = distinct.select(F.explode(_keys(threshold, probe=True)).alias("key"), F.col("id").alias("y"))
-    pairs = index.join(probe, "key").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    distinct = distinct.select("id", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"), word_parity("head.line").alias("parity"))
+    index = distinct.select(F.explode(_keys(threshold, probe=False)).alias("key"), F.col("id").alias("x"), F.col("parity").alias("xp"))
+    probe = distinct.select(F.explode(_keys(threshold, probe=True)).alias("key"), F.col("id").alias("y"), F.col("parity").alias("yp"))
+    pairs = index.join(probe, "key").where("x <> y").where(F.bit_count(F.col("xp").bitwiseXOR(F.col("yp"))) <= 3 * threshold).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     one = distinct.select(F.col("id").alias("x"), F.col("line").alias("p"), F.col("first").alias("pf"))
     two = distinct.select(F.col("id").alias("y"), F.col("line").alias("q"), F.col("first").alias("qf"))
     met = pairs.join(one, "x").join(two, "y")
-    near = met.where(F.abs(F.char_length("p") - F.char_length("q")) <= threshold).where(edit_distance_within("p", "q", threshold))
+    like = met.where(F.abs(F.char_length("p") - F.char_length("q")) <= threshold)
+    near = trimmed(like, threshold).where(edit_distance_within("p", "q", threshold))
     return tables.put(near.select(F.when(F.col("pf") < F.col("qf"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct(), "near")
 
 
@@ -121,8 +148,8 @@ def removed_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = TH
     tables = Written(docs.sparkSession)
     near = near_lines(docs, tables, shortest, threshold).withColumn("near", F.lit(True))
     found = lines(docs, shortest).select("doc_id", "row_key", "line_no", "id", "check")
-    counted = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last"), F.min("check").alias("low"), F.max("check").alias("high"))
-    known = counted.where("low = high").join(near, "id", "left").where("near OR first <> last").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    counted = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
+    known = counted.where("low = high").join(near, "id", "left").where("near OR times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = found.join(known, "id").where("near OR first <> struct(doc_id, line_no)").select("doc_id", "row_key", "line_no", "near").distinct()
     return gone.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list("line_no")).alias("removed"), F.count_if("near").alias("n_near"))
 
