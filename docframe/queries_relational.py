@@ -101,24 +101,31 @@ query("pivot_count", "SELECT user_id, count(CASE WHEN event_type = 'click' THEN
 query("unpivot", "SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 'price', nullif(p_retailprice, 0) FROM part WHERE p_partkey % 2 = 0")(lambda t: R.unpivot(t.part.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")).alias("p_retailprice")), ["p_partkey"], {"p_size": "size", "p_retailprice": "price"}, "what", "v"))
 
 # Windows.
-_E = "events"
-_BY = W.partitionBy("user_id").orderBy("ts", "event_id")
-query("win_rownum", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS v FROM events")(lambda t: t.events.select("event_id", F.row_number().over(_BY).alias("v")))
-_PEERS = W.partitionBy("user_id").orderBy("event_type")
-query("win_rank", "SELECT event_id, CAST(rank() OVER (PARTITION BY user_id ORDER BY event_type) AS INTEGER) AS v FROM events")(lambda t: t.events.select("event_id", F.rank().over(_PEERS).alias("v")))
-query("win_dense", "SELECT event_id, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS INTEGER) AS v FROM events")(lambda t: t.events.select("event_id", F.dense_rank().over(_PEERS).alias("v")))
+
+
+def _by():
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def _peers():
+    return W.partitionBy("user_id").orderBy("event_type")
+
+
+query("win_rownum", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS v FROM events")(lambda t: t.events.select("event_id", F.row_number().over(_by()).alias("v")))
+query("win_rank", "SELECT event_id, CAST(rank() OVER (PARTITION BY user_id ORDER BY event_type) AS INTEGER) AS v FROM events")(lambda t: t.events.select("event_id", F.rank().over(_peers()).alias("v")))
+query("win_dense", "SELECT event_id, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS INTEGER) AS v FROM events")(lambda t: t.events.select("event_id", F.dense_rank().over(_peers()).alias("v")))
 query("win_rank_unordered", "SELECT n_nationkey, CAST(1 AS INTEGER) AS v FROM nation")(lambda t: t.nation.select("n_nationkey", F.rank().over(W.partitionBy("n_regionkey").orderBy(F.lit(1))).alias("v")))
-query("win_ntile", "SELECT event_id, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS v FROM events")(lambda t: t.events.select("event_id", F.ntile(4).over(_BY).alias("v")))
-query("win_lag", "SELECT event_id, lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) ELSE -event_id END AS d FROM events")(lambda t: t.events.select("event_id", F.lag("value", 2).over(_BY).alias("v"), X.lag_or("event_id", 1, -F.col("event_id"), _BY).alias("d")))
-query("win_lead", "SELECT event_id, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events")(lambda t: t.events.select("event_id", F.lead("value").over(_BY).alias("v")))
-query("win_first_last", "SELECT event_id, first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, last_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS l FROM events")(lambda t: t.events.select("event_id", F.first("event_id").over(_BY).alias("f"), F.last("event_id").over(_BY.rowsBetween(-1, 1)).alias("l")))
-query("win_running", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_type) AS BIGINT) AS s, count(*) OVER (PARTITION BY user_id) AS n FROM events")(lambda t: t.events.select("event_id", F.sum("event_id").over(_PEERS).alias("s"), F.count(F.lit(1)).over(W.partitionBy("user_id")).alias("n")))
-query("win_rows", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS v, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM events")(lambda t: t.events.select("event_id", F.sum("event_id").over(_BY.rowsBetween(-2, 0)).alias("v"), F.count(F.lit(1)).over(_BY.rowsBetween(0, W.unboundedFollowing)).alias("c")))
-query("win_rows_empty", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 FOLLOWING AND 3 FOLLOWING) AS BIGINT) AS v, count(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS c FROM events")(lambda t: t.events.select("event_id", F.sum("event_id").over(_BY.rowsBetween(2, 3)).alias("v"), F.count("event_id").over(_BY.rowsBetween(-3, -2)).alias("c")))
+query("win_ntile", "SELECT event_id, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS v FROM events")(lambda t: t.events.select("event_id", F.ntile(4).over(_by()).alias("v")))
+query("win_lag", "SELECT event_id, lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) ELSE -event_id END AS d FROM events")(lambda t: t.events.select("event_id", F.lag("value", 2).over(_by()).alias("v"), X.lag_or("event_id", 1, -F.col("event_id"), _by()).alias("d")))
+query("win_lead", "SELECT event_id, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events")(lambda t: t.events.select("event_id", F.lead("value").over(_by()).alias("v")))
+query("win_first_last", "SELECT event_id, first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, last_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS l FROM events")(lambda t: t.events.select("event_id", F.first("event_id").over(_by()).alias("f"), F.last("event_id").over(_by().rowsBetween(-1, 1)).alias("l")))
+query("win_running", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_type) AS BIGINT) AS s, count(*) OVER (PARTITION BY user_id) AS n FROM events")(lambda t: t.events.select("event_id", F.sum("event_id").over(_peers()).alias("s"), F.count(F.lit(1)).over(W.partitionBy("user_id")).alias("n")))
+query("win_rows", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS v, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM events")(lambda t: t.events.select("event_id", F.sum("event_id").over(_by().rowsBetween(-2, 0)).alias("v"), F.count(F.lit(1)).over(_by().rowsBetween(0, W.unboundedFollowing)).alias("c")))
+query("win_rows_empty", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 FOLLOWING AND 3 FOLLOWING) AS BIGINT) AS v, count(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS c FROM events")(lambda t: t.events.select("event_id", F.sum("event_id").over(_by().rowsBetween(2, 3)).alias("v"), F.count("event_id").over(_by().rowsBetween(-3, -2)).alias("c")))
 query("win_range_num", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS v, count(*) OVER (PARTITION BY p_brand ORDER BY p_size DESC RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS d FROM part")(lambda t: t.part.select("p_partkey", F.count(F.lit(1)).over(W.partitionBy("p_brand").orderBy("p_size").rangeBetween(-3, 1)).alias("v"), F.count(F.lit(1)).over(W.partitionBy("p_brand").orderBy(F.col("p_size").desc()).rangeBetween(-2, 0)).alias("d")))
 query("win_range_interval", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY date_trunc('millisecond', ts) RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS v FROM events")(lambda t: t.events.select("event_id", F.count(F.lit(1)).over(X.range_ms(["event_type"], "ts", 6 * 3600 * 1000, 0)).alias("v")))
 query("win_groups", "SELECT p_partkey, CAST(sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS v FROM part")(lambda t: X.groups_frame(t.part, ["p_brand"], F.col("p_size"), -1, 1, "v", lambda w: F.sum("p_partkey").over(w)).select("p_partkey", "v"))
-query("win_filter", "SELECT event_id, count(*) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events")(lambda t: t.events.select("event_id", X.filtered(F.count, F.lit(1), F.col("event_type") == "click", _BY).alias("v")))
+query("win_filter", "SELECT event_id, count(*) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events")(lambda t: t.events.select("event_id", X.filtered(F.count, F.lit(1), F.col("event_type") == "click", _by()).alias("v")))
 query("win_distinct", "SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id) AS v FROM events")(lambda t: t.events.select("event_id", X.count_distinct(F.col("event_type"), W.partitionBy("user_id")).alias("v")))
 query("win_string", "SELECT n_nationkey, string_agg(n_name, '>') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS v FROM nation")(lambda t: t.nation.select("n_nationkey", F.array_join(F.collect_list("n_name").over(W.partitionBy("n_regionkey").orderBy("n_nationkey")), ">").alias("v")))
 query("qualify_top1", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1")(lambda t: X.qualify(t.events, F.col("_q_n") == 1, n=F.row_number().over(W.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id"))).select("user_id", "event_id"))
