@@ -33,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Has Spark remove the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Written:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
@@ -40,9 +44,15 @@ class Written:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/docframe-{uuid.uuid4().hex}", 0
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table; the shuffle files behind it go with the end of the write, as nothing reads them again."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

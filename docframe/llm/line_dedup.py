@@ -13,8 +13,8 @@ on.  Each is cut into threshold + 1 segments; two lines within the threshold
 share one of the shorter line's segments, at a place that the lengths bound.  So
 each line is indexed by (length, segment number, segment) and probes the index
 of each length up to ``THRESHOLD`` less with the substrings that the
-multi-match-aware bounds allow.  Pairs that meet, and whose words' parities differ in no more bits
-than the threshold's edits can flip, are verified with the banded bit-parallel
+multi-match-aware bounds allow.  Pairs that meet, and whose counts of a few
+letters differ by no more than the threshold's edits can change, are verified with the banded bit-parallel
 recurrence: one step for each character between the first and the last
 difference, over a band of 2 * threshold + 1 bits.
 
@@ -33,12 +33,16 @@ from .common import Written
 
 SHORTEST = 30
 THRESHOLD = 2
+#: Letters that pairs are first compared by; any eight ASCII characters give right results, frequent ones tell more pairs apart.
+LETTERS = "etaoinsh"
 
 
 def lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, line_no, line, id, check) of the long lines."""
     split = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    return docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row_key"), split).where(F.char_length("line") >= shortest).withColumns({"id": F.xxhash64("line"), "check": F.hash("line")})
+    # The key is taken below the generator, once a text, and the text isn't carried into the lines.
+    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("row_key"))
+    return keyed.select("doc_id", "row_key", split).where(F.char_length("line") >= shortest).withColumns({"id": F.xxhash64("line"), "check": F.hash("line")})
 
 
 def _keys(threshold: int, probe: bool) -> Column:
@@ -57,12 +61,22 @@ def _keys(threshold: int, probe: bool) -> Column:
     return F.array(*out)
 
 
-def word_parity(text: str) -> Column:
-    """31 bits, each the parity of how many words hash to it.
+def letter_counts(text: str) -> Column:
+    """How often each of ``LETTERS`` stands in the text, modulo 16, in four bits each."""
+    out = F.lit(0)
+    for i, letter in enumerate(LETTERS):
+        count = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * i))
+    return out
 
-    An edit changes one word, or joins two, or splits one: it flips three bits at most.
-    """
-    return F.aggregate(F.split(text, " "), F.lit(0), lambda m, w: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.pmod(F.xxhash64(w), F.lit(31)).cast("int"))))
+
+def may_be_near(left: str, right: str, threshold: int) -> Column:
+    """Whether letter counts allow so few edits: each adds one letter at most, and takes one away at most."""
+    if threshold > 7:
+        return F.lit(True)
+    digit = lambda c, i: F.shiftright(F.col(c), 4 * i).bitwiseAND(F.lit(15))
+    less = [(digit(left, i) - digit(right, i) + 8).bitwiseAND(F.lit(15)) - 8 for i in range(len(LETTERS))]
+    return (sum(F.greatest(d, F.lit(0)) for d in less) <= threshold) & (sum(F.greatest(-d, F.lit(0)) for d in less) <= threshold)
 
 
 def common_start(left: Column, right: Column, most: Column) -> Column:
@@ -129,12 +143,13 @@ def edit_distance_within(left: str, right: str, threshold: int) -> Column:
 def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> DataFrame:
     """(id) of lines of which another one within the threshold stands earlier."""
     found = lines(docs, shortest)
-    # One struct, so that all readers below share one shuffle of the lines.
-    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("head"))
-    distinct = distinct.select("id", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"), word_parity("head.line").alias("parity"))
-    index = distinct.select(F.explode(_keys(threshold, probe=False)).alias("key"), F.col("id").alias("x"), F.col("parity").alias("xp"))
-    probe = distinct.select(F.explode(_keys(threshold, probe=True)).alias("key"), F.col("id").alias("y"), F.col("parity").alias("yp"))
-    pairs = index.join(probe, "key").where("x <> y").where(F.bit_count(F.col("xp").bitwiseXOR(F.col("yp"))) <= 3 * threshold).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # One struct, so that the lines are shuffled once; written, so that they are combined once for the four readers below.
+    heads = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("head"))
+    heads = heads.select("id", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"))
+    distinct = tables.put(heads.withColumn("letters", letter_counts("line")), "lines")
+    index = distinct.select(F.explode(_keys(threshold, probe=False)).alias("key"), F.col("id").alias("x"), F.col("letters").alias("xl"))
+    probe = distinct.select(F.explode(_keys(threshold, probe=True)).alias("key"), F.col("id").alias("y"), F.col("letters").alias("yl"))
+    pairs = index.join(probe, "key").where("x <> y").where(may_be_near("xl", "yl", threshold)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     one = distinct.select(F.col("id").alias("x"), F.col("line").alias("p"), F.col("first").alias("pf"))
     two = distinct.select(F.col("id").alias("y"), F.col("line").alias("q"), F.col("first").alias("qf"))
     met = pairs.join(one, "x").join(two, "y")
