@@ -26,6 +26,8 @@ document, and so are given the same result.
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,31 +142,41 @@ def edit_distance_within(left: str, right: str, threshold: int) -> Column:
     return F.get(F.transform(F.array(F.struct(p.alias("p"), t.alias("t"))), over), F.lit(0))
 
 
-def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> DataFrame:
-    """(id) of lines of which another one within the threshold stands earlier."""
+def all_letters_near(left: str, right: str, threshold: int) -> Column:
+    """Whether the counts of all of a to z allow so few edits; for pairs, before the recurrence."""
+    count = lambda c, x: F.octet_length(c) - F.octet_length(F.replace(F.col(c), F.lit(x), F.lit("")))
+    less = [count(left, x) - count(right, x) for x in ascii_lowercase]
+    pair = F.array(*less)
+    up = F.aggregate(pair, F.lit(0), lambda n, d: n + F.greatest(d, F.lit(0)))
+    down = F.aggregate(pair, F.lit(0), lambda n, d: n + F.greatest(-d, F.lit(0)))
+    return (up <= threshold) & (down <= threshold)
+
+
+def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(id) of lines of which another one within the threshold stands earlier; and the table of distinct lines."""
     found = lines(docs, shortest)
     # One struct, so that the lines are shuffled once; written, so that they are combined once for the four readers below.
-    heads = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("head"))
-    heads = heads.select("id", F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"))
+    heads = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("head"), F.count(F.lit(1)).alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
+    heads = heads.select("id", "times", F.expr("low = high").alias("alone"), F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"))
     distinct = tables.put(heads.withColumn("letters", letter_counts("line")), "lines")
     index = distinct.select(F.explode(_keys(threshold, probe=False)).alias("key"), F.col("id").alias("x"), F.col("letters").alias("xl"))
     probe = distinct.select(F.explode(_keys(threshold, probe=True)).alias("key"), F.col("id").alias("y"), F.col("letters").alias("yl"))
-    pairs = index.join(probe, "key").where("x <> y").where(may_be_near("xl", "yl", threshold)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = tables.put(index.join(probe, "key").where("x <> y").where(may_be_near("xl", "yl", threshold)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     one = distinct.select(F.col("id").alias("x"), F.col("line").alias("p"), F.col("first").alias("pf"))
     two = distinct.select(F.col("id").alias("y"), F.col("line").alias("q"), F.col("first").alias("qf"))
     met = pairs.join(one, "x").join(two, "y")
     like = met.where(F.abs(F.char_length("p") - F.char_length("q")) <= threshold)
-    near = trimmed(like, threshold).where(edit_distance_within("p", "q", threshold))
-    return tables.put(near.select(F.when(F.col("pf") < F.col("qf"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct(), "near")
+    close = tables.put(like.where(all_letters_near("p", "q", threshold)), "close")
+    near = trimmed(close, threshold).where(edit_distance_within("p", "q", threshold))
+    return tables.put(near.select(F.when(F.col("pf") < F.col("qf"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct(), "near"), distinct
 
 
 def removed_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, row_key, removed, near): of each document the numbers of the lines that go, before whole copies are spared."""
     tables = Written(docs.sparkSession)
-    near = near_lines(docs, tables, shortest, threshold).withColumn("near", F.lit(True))
-    found = lines(docs, shortest).select("doc_id", "row_key", "line_no", "id", "check")
-    counted = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
-    known = counted.where("low = high").join(near, "id", "left").where("near OR times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    near, distinct = near_lines(docs, tables, shortest, threshold)
+    known = distinct.where("alone").join(near.withColumn("near", F.lit(True)), "id", "left").where("near OR times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    found = lines(docs, shortest).select("doc_id", "row_key", "line_no", "id")
     gone = found.join(known, "id").where("near OR first <> struct(doc_id, line_no)").select("doc_id", "row_key", "line_no", "near").distinct()
     return gone.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list("line_no")).alias("removed"), F.count_if("near").alias("n_near"))
 
