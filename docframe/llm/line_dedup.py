@@ -166,8 +166,8 @@ def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, thres
     two = distinct.select(F.col("id").alias("y"), F.col("line").alias("q"), F.col("first").alias("qf"))
     met = pairs.join(one, "x").join(two, "y")
     like = met.where(F.abs(F.char_length("p") - F.char_length("q")) <= threshold)
-    close = tables.put(like.where(all_letters_near("p", "q", threshold)), "close")
-    near = trimmed(close, threshold).where(edit_distance_within("p", "q", threshold))
+    close = tables.put(trimmed(like.where(all_letters_near("p", "q", threshold)), threshold), "close")
+    near = close.where(edit_distance_within("p", "q", threshold))
     return tables.put(near.select(F.when(F.col("pf") < F.col("qf"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct(), "near"), distinct
 
 
@@ -177,8 +177,9 @@ def removed_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = TH
     near, distinct = near_lines(docs, tables, shortest, threshold)
     known = distinct.where("alone").join(near.withColumn("near", F.lit(True)), "id", "left").where("near OR times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
     found = lines(docs, shortest).select("doc_id", "row_key", "line_no", "id")
-    gone = found.join(known, "id").where("near OR first <> struct(doc_id, line_no)").select("doc_id", "row_key", "line_no", "near").distinct()
-    return gone.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list("line_no")).alias("removed"), F.count_if("near").alias("n_near"))
+    gone = found.join(known, "id").where("near OR first <> struct(doc_id, line_no)")
+    # Sets, as rows with the same doc_id and text name the same lines.
+    return gone.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("n_near"))
 
 
 def spared(removed: str, text_lines: Column, shortest: int = SHORTEST) -> Column:
