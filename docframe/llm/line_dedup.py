@@ -172,7 +172,7 @@ def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, thres
 
 
 def removed_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, row_key, removed, near): of each document the numbers of the lines that go, before whole copies are spared."""
+    """(doc_id, row_key, removed, near): of each document the numbers of the lines that go."""
     tables = Written(docs.sparkSession)
     near, distinct = near_lines(docs, tables, shortest, threshold)
     known = distinct.where("alone").join(near.withColumn("near", F.lit(True)), "id", "left").where("near OR times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -182,18 +182,11 @@ def removed_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = TH
     return gone.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("n_near"))
 
 
-def spared(removed: str, text_lines: Column, shortest: int = SHORTEST) -> Column:
-    """The removed lines, or none where no long line would stay."""
-    long = F.size(F.filter(text_lines, lambda x: F.char_length(x) >= shortest))
-    none = F.array().cast("array<int>")
-    return F.when(F.col(removed).isNull() | (F.size(removed) >= long), none).otherwise(F.col(removed))
-
-
 def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> DataFrame:
     """The rows and columns of ``docs`` without the lines that go; ``n_chars``, if present, follows the text."""
     gone = removed_lines(docs, shortest, threshold).select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), F.col("removed").alias("_removed"))
     marked = docs.withColumn("_own", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_key")), "left")
-    cut = marked.withColumn("_removed", spared("_removed", F.split("text", "\n"), shortest))
+    cut = marked.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
     text = F.when(F.size("_removed") > 0, kept).otherwise(F.col("text"))
     new = {"text": text} | ({"n_chars": F.when(F.size("_removed") > 0, F.char_length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
@@ -207,7 +200,7 @@ def digest(docs: DataFrame, shortest: int = SHORTEST, threshold: int = THRESHOLD
     long = F.coalesce(F.size(F.filter(split, lambda x: F.char_length(x) >= shortest)), F.lit(0)).cast("bigint")
     sizes = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.when(F.col("text").isNull(), 0).otherwise(count).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(long).alias("n_long"))
     joined = sizes.join(removed_lines(docs, shortest, threshold), ["doc_id", "row_key"], "left")
-    stay = F.col("removed").isNull() | (F.size("removed") >= F.col("n_long"))
+    stay = F.col("removed").isNull()
     return joined.select(
         "doc_id",
         "n_lines",
@@ -242,7 +235,5 @@ def brute_force(docs: list[tuple], shortest: int = SHORTEST, threshold: int = TH
         own = [] if text is None else text.split("\n")
         long = [i for i, x in enumerate(own) if len(x) >= shortest]
         gone = [i for i in long if doc is not None and (own[i] in near or first[own[i]] != (doc, i))]
-        if len(gone) >= len(long):
-            gone = []
         out.append((doc, len(own), len(long), len(gone), sum(own[i] in near for i in gone), ",".join(map(str, gone))))
     return out

@@ -103,6 +103,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df).count() == len(made)
 
 
+def test_line_dedup_of_fully_covered_documents(spark):
+    """Copies, documents made of others' lines and a line over and over keep their rows only."""
+    a, b = "first long line of boilerplate text, " * 2, "second, unlike the other one in all words " * 2
+    made = [(1, a), (2, b), (3, f"{b}\n{a}"), (4, a), (5, "\n".join(["the one line of this page, " * 3] * 4))]
+    df = spark.createDataFrame(made, "doc_id long, text string").withColumn("n_chars", F.char_length("text"))
+    assert {r.doc_id: (r.n_removed, r.removed) for r in line_dedup.digest(df).collect()} == {1: (0, ""), 2: (0, ""), 3: (2, "0,1"), 4: (1, "0"), 5: (3, "1,2,3")}
+    kept = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.dedup_lines(df).collect()}
+    assert kept == {1: (a, len(a)), 2: (b, len(b)), 3: ("", 0), 4: ("", 0), 5: (made[4][1].split("\n")[0], 81)}
+
+
 def test_edit_distance(spark):
     r = random.Random(4)
     pairs = [("".join(r.choice("abc") for _ in range(r.randint(14, 40))), r) for _ in range(150)]
