@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines that repeat an earlier one, within two edits, are cut from the texts."""
+    """Lines that repeat an earlier one, long ones within two edits, are cut from the texts."""
     return line_dedup.dedup_lines(docs)
 
 

@@ -1,12 +1,12 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions alone.
 
-Lines of ``SHORTEST`` characters and more take part; shorter ones, blank lines
-among them, always stay.  A line goes if an equal line, or one within
-``THRESHOLD`` edits, stands earlier: in a document with a smaller doc_id, or
-further up in the same one.  Lines are judged on the input, so that the first of
-a chain is what the others are compared with, whether it stays or not.  A
-document all of whose long lines would go is a copy as a whole and is left for
-document-level deduplication, as it is.
+Blank lines always stay.  Any other line goes if an equal line stands earlier: in
+a document with a smaller doc_id, or further up in the same one.  A line of
+``SHORTEST`` characters and more also goes if one within ``THRESHOLD`` edits, of
+``SHORTEST`` characters and more too, stands earlier.  Lines are judged on the
+input, so that the first of a chain is what the others are compared with, whether
+it stays or not.  A document that loses all its lines, as a copy does, keeps its
+row with what is left, which may be an empty text.
 
 Equal lines are counted first, combined before the shuffle, and one of each goes
 on.  Each is cut into threshold + 1 segments; two lines within the threshold
@@ -33,18 +33,19 @@ from pyspark.sql import functions as F
 
 from .common import Written
 
-SHORTEST = 30
+#: Characters that a line has at least for edits to be allowed; a shorter one goes for an equal line only.
+SHORTEST = 12
 THRESHOLD = 2
 #: Letters that pairs are first compared by; any eight ASCII characters give right results, frequent ones tell more pairs apart.
 LETTERS = "etaoinsh"
 
 
-def lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(doc_id, line_no, line, id, check) of the long lines."""
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, line_no, line, id, check) of the lines that aren't blank."""
     split = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     # The key is taken below the generator, once a text, and the text isn't carried into the lines.
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("row_key"))
-    return keyed.select("doc_id", "row_key", split).where(F.char_length("line") >= shortest).withColumns({"id": F.xxhash64("line"), "check": F.hash("line")})
+    return keyed.select("doc_id", "row_key", split).where(F.col("line").rlike("[^ \t\r\x0b\x0c]")).withColumns({"id": F.xxhash64("line"), "check": F.hash("line")})
 
 
 def _keys(threshold: int, probe: bool) -> Column:
@@ -154,13 +155,14 @@ def all_letters_near(left: str, right: str, threshold: int) -> Column:
 
 def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(id) of lines of which another one within the threshold stands earlier; and the table of distinct lines."""
-    found = lines(docs, shortest)
+    found = lines(docs)
     # One struct, so that the lines are shuffled once; written, so that they are combined once for the four readers below.
     heads = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("head"), F.count(F.lit(1)).alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
     heads = heads.select("id", "times", F.expr("low = high").alias("alone"), F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"))
     distinct = tables.put(heads.withColumn("letters", letter_counts("line")), "lines")
-    index = distinct.select(F.explode(_keys(threshold, probe=False)).alias("key"), F.col("id").alias("x"), F.col("letters").alias("xl"))
-    probe = distinct.select(F.explode(_keys(threshold, probe=True)).alias("key"), F.col("id").alias("y"), F.col("letters").alias("yl"))
+    long = distinct.where(F.char_length("line") >= shortest)
+    index = long.select(F.explode(_keys(threshold, probe=False)).alias("key"), F.col("id").alias("x"), F.col("letters").alias("xl"))
+    probe = long.select(F.explode(_keys(threshold, probe=True)).alias("key"), F.col("id").alias("y"), F.col("letters").alias("yl"))
     pairs = tables.put(index.join(probe, "key").where("x <> y").where(may_be_near("xl", "yl", threshold)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     one = distinct.select(F.col("id").alias("x"), F.col("line").alias("p"), F.col("first").alias("pf"))
     two = distinct.select(F.col("id").alias("y"), F.col("line").alias("q"), F.col("first").alias("qf"))
@@ -176,7 +178,7 @@ def removed_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = TH
     tables = Written(docs.sparkSession)
     near, distinct = near_lines(docs, tables, shortest, threshold)
     known = distinct.where("alone").join(near.withColumn("near", F.lit(True)), "id", "left").where("near OR times > 1").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    found = lines(docs, shortest).select("doc_id", "row_key", "line_no", "id")
+    found = lines(docs).select("doc_id", "row_key", "line_no", "id")
     gone = found.join(known, "id").where("near OR first <> struct(doc_id, line_no)")
     # Sets, as rows with the same doc_id and text name the same lines.
     return gone.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("n_near"))
@@ -227,13 +229,13 @@ def brute_force(docs: list[tuple], shortest: int = SHORTEST, threshold: int = TH
     first: dict[str, tuple] = {}
     for doc, text in docs:
         for i, line in enumerate((text or "").split("\n") if text is not None else []):
-            if doc is not None and len(line) >= shortest:
+            if doc is not None and line.strip(" \t\r\x0b\x0c"):
                 first[line] = min(first.get(line, (doc, i)), (doc, i))
-    near = {b for b in first if any(first[a] < first[b] and a != b and within(a, b) for a in first)}
+    near = {b for b in first if len(b) >= shortest and any(first[a] < first[b] and a != b and len(a) >= shortest and within(a, b) for a in first)}
     out = []
     for doc, text in docs:
         own = [] if text is None else text.split("\n")
         long = [i for i, x in enumerate(own) if len(x) >= shortest]
-        gone = [i for i in long if doc is not None and (own[i] in near or first[own[i]] != (doc, i))]
+        gone = [i for i, x in enumerate(own) if doc is not None and x.strip(" \t\r\x0b\x0c") and (x in near or first[x] != (doc, i))]
         out.append((doc, len(own), len(long), len(gone), sum(own[i] in near for i in gone), ",".join(map(str, gone))))
     return out

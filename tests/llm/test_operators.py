@@ -113,6 +113,15 @@ def test_line_dedup_of_fully_covered_documents(spark):
     assert kept == {1: (a, len(a)), 2: (b, len(b)), 3: ("", 0), 4: ("", 0), 5: (made[4][1].split("\n")[0], 81)}
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Short lines go for equal ones, lines of 12 characters for near ones too; blank lines stay."""
+    made = [(1, "Read more\n\nAll rights reserved.\n \t\r"), (2, "Read more\n\nAll right reserved\n \t\r\nRead mores\nA"), (3, "A\nBread more\nAll rights reserved."), (4, None), (None, "A")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in line_dedup.digest(df).collect()}
+    assert got == {d: tuple(x) for d, *x in line_dedup.brute_force(made)}
+    assert (got[1][2:], got[2][2:], got[3][2:]) == ((0, 0, ""), (2, 1, "0,2"), (2, 0, "0,2"))
+
+
 def test_edit_distance(spark):
     r = random.Random(4)
     pairs = [("".join(r.choice("abc") for _ in range(r.randint(14, 40))), r) for _ in range(150)]
