@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import by_slices
+from .common import Written, by_slices
 from .mixing import word_count
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 CHUNK_BYTES, PARTITION_BYTES = 8 << 20, 16 << 20
 
 
@@ -82,7 +82,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     """Per row doc_id, n_words, log_score (the sum of natural logarithms) and mean_log_score."""
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     size = source.agg(F.coalesce(F.sum(word_count()), F.lit(0)).alias("words"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    total, partitions = max(1, size["words"]), max(1, -(-size["bytes"] // PARTITION_BYTES))
+    total, partitions = max(1, size["words"]), max(1, -(-size["bytes"] * order // PARTITION_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def tell(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
@@ -131,7 +131,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n), "log_score": pa.array(log_score), "mean_log_score": mean})
 
     told = by_slices(source, "text", tell, "chunk bigint, part bigint, grams binary, counts binary", CHUNK_BYTES)
-    totals = told.groupBy("part").applyInArrow(add_up, "chunk bigint, part bigint, totals binary")
+    # Written, so that the n-grams' shuffle files are gone before the texts are shuffled.
+    totals = Written(docs.sparkSession).put(told.groupBy("part").applyInArrow(add_up, "chunk bigint, part bigint, totals binary"), "totals")
     texts = by_slices(source, "text", place_text, f"chunk bigint, doc_id {kind}, text string", CHUNK_BYTES)
     return texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(sum_up, f"doc_id {kind}, n_words bigint, log_score double, mean_log_score double")
 

@@ -147,6 +147,14 @@ def test_lm_score(docs, order):
         assert got[doc].n_words == n and got[doc].log_score == pytest.approx(s, abs=1e-4)
 
 
+def test_lm_score_sees_more_than_pairs(spark):
+    """As registered: each pair of the last text is common, its triple is not."""
+    made = [(i, "a b c") for i in range(3)] + [(i, "x b y") for i in range(3, 6)] + [(6, "a b y")]
+    got = {d: s for d, _, s in map(lambda r: tuple(r)[:3], lm_score.score(spark.createDataFrame(made, "doc_id long, text string")).collect())}
+    want = {d: s for d, _, s in lm_score.brute_force(made, 3)}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_flac_round_trip():
     r = np.random.default_rng(1)
     texts = [b"", b"abc", bytes(r.integers(0, 256, 40000, dtype=np.uint8)), b"hello " * 200, b"\xff\xf8\x14\x02" * 300]
