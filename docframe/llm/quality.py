@@ -5,8 +5,9 @@ bytes, the last three bytes of each token, and coarse statistics (repetition,
 capitals, symbols, word length).  The metadata view sees source, language and
 length class.  Each view is a ridge logistic regression over the facts that
 speak for the class with a log-likelihood gain of ``EVIDENCE`` or more.
-Documents that share their least hashed fact, as copies do, share the weight of
-one document, so that a large group of copies can't make its words evidence.
+Documents that agree in all of ``SKETCH`` min-hashes of their words, as copies do,
+share the weight of one document, so that a large group of copies can't make its
+words evidence.
 
 Over ``ROUNDS`` rounds each view labels the documents of a pool that it is
 confident of, and the other view is trained with these as well.  Scores of both
@@ -40,6 +41,7 @@ BITS = 20
 LABELLED, POOL, ROUNDS = 6000, 4000, 3
 EVIDENCE, FACTS, STEPS, RIDGE = 11.0, 3000, 200, 0.3
 CONFIDENT, THRESHOLD = 0.99, 0.5
+SKETCH = 8
 FAST_STEP = 0x9E3779B97F4A7C15
 
 
@@ -82,6 +84,20 @@ def text_facts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(facts), np.concatenate(of)
 
 
+def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of each text one hash of ``SKETCH`` min-hashes of its lower-cased words, or tokens where it has no words; equal for copies and most near copies."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    for kind in (K.words(data, off), K.words(data, off, K.ALNUM)):  # the second overrides
+        starts, ends, ranges = kind
+        has = np.flatnonzero(np.diff(ranges))
+        hashes = K.word_hashes(data, starts, ends, lower=True)
+        made = np.zeros(len(has), np.uint64)
+        for salt in range(SKETCH if len(has) else 0):
+            made = K.mix(made ^ np.minimum.reduceat(K.mix(hashes ^ np.uint64(((salt + 1) * FAST_STEP) & 0xFFFFFFFFFFFFFFFF)), ranges[has]))
+        out[has] = made
+    return out
+
+
 def meta_facts(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     n = len(rows)
     out = []
@@ -237,9 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
     def work(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
         lists = [list_column(*_distinct(*facts, len(rows))) for facts in (text_facts(data, off), meta_facts(rows))]
-        return pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.string()), *[rows.column(c).cast(pa.int64()) for c in ("quality", "toxic", "known")], *lists], names=["doc_id", "quality", "toxic", "known", "text", "meta"])
+        return pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.string()), *[rows.column(c).cast(pa.int64()) for c in ("quality", "toxic", "known")], pa.array(sketches(data, off).view(np.int64)), *lists], names=["doc_id", "quality", "toxic", "known", "sketch", "text", "meta"])
 
-    got = by_slices(sample, "text", work, "doc_id string, quality bigint, toxic bigint, known bigint, text array<int>, meta array<int>").toArrow()
+    got = by_slices(sample, "text", work, "doc_id string, quality bigint, toxic bigint, known bigint, sketch bigint, text array<int>, meta array<int>").toArrow()
     order = np.argsort(np.array(got["doc_id"].to_pylist(), object).astype(str), kind="stable")
     got = got.take(pa.array(order))
     n = got.num_rows
@@ -257,9 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     at = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
     fold = K.mix(K.word_hashes(np.frombuffer(b"".join(ids), np.uint8), at[:-1], at[1:])) % np.uint64(4) == 0
     held = known & fold
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, text[1], K.mix(text[0].astype(np.uint64)))
-    _, group, copies = np.unique(least, return_inverse=True, return_counts=True)
+    _, group, copies = np.unique(got["sketch"].to_numpy(), return_inverse=True, return_counts=True)
     share = 1.0 / copies[group]
     low = np.where(known, (got["quality"].fill_null(1).to_numpy() == 0).astype(int), -1)
     toxic = np.where(known, (got["toxic"].fill_null(0).to_numpy() == 1).astype(int), -1)

@@ -194,6 +194,17 @@ def test_quality_held_out(spark):
     assert right[0] > 0.95 and right[1] > 0.98
 
 
+def test_quality_sketches_tell_copies():
+    """Copies agree, near copies mostly; short texts that share common words and all statistics don't."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base), " ".join(base), "", "", "!!! ??", " ".join(f"the of and a w{r.randrange(10**6)}" for _ in range(6))]
+    texts += [" ".join(["the", "of", "and", *(f"w{r.randrange(10**6)}" for _ in range(20))]) for _ in range(500)]
+    raw = [t.encode() for t in texts]
+    got = quality.sketches(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert got[0] == got[1] and got[2] == got[3] and len(set(got.tolist())) == len(texts) - 2
+
+
 def test_quality_without_labels(spark, docs):
     full = docs.select("doc_id", "text", F.lit("s").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_chars"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
