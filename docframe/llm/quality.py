@@ -243,11 +243,16 @@ class Model:
     toxic: Judge | None
 
 
+def unlabelled(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The distinct ids of documents without a label, of which the pool is drawn."""
+    return docs.where("doc_id IS NOT NULL").select("doc_id").distinct().join(told, "doc_id", "left_anti")
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
     """Co-train on bounded samples; the ids sent to all executors are at most ``labelled + pool``."""
     told = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     few = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).withColumn("known", F.lit(1))
-    some = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool).distinct()
+    some = unlabelled(docs, told).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool)
     marks = few.join(some.withColumn("pool", F.lit(1)), "doc_id", "full").drop("pool")
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("bigint").alias("n_chars")).join(F.broadcast(marks), "doc_id")
 

@@ -205,6 +205,11 @@ def test_quality_sketches_tell_copies():
     assert got[0] == got[1] and got[2] == got[3] and len(set(got.tolist())) == len(texts) - 2
 
 
+def test_quality_pool_is_unlabelled(spark):
+    ids = spark.createDataFrame([(i,) for i in (None, 1, 1, 2, 3, 3, 3, 4)], "doc_id long")
+    assert rows(quality.unlabelled(ids, spark.createDataFrame([(1,), (4,)], "doc_id long"))) == [(2,), (3,)]
+
+
 def test_quality_without_labels(spark, docs):
     full = docs.select("doc_id", "text", F.lit("s").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_chars"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
