@@ -15,5 +15,5 @@ def explain(df: DataFrame) -> DataFrame:
         text = re.sub(r"^[\s:+-]*", "", line)
         op = next((name for start, name in _OPS if text.startswith(start)), None)
         if op:
-            rows.append((len(rows) + 1, op, re.sub(r"#\d+L?", "", text)[:200]))
+            rows.append((len(rows) + 1, op, re.sub(r"#\d+L?", "", text)))
     return df.sparkSession.createDataFrame(rows, "step int, op string, detail string")

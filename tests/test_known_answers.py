@@ -122,3 +122,10 @@ def test_empty_log_and_rewrites(spark, tmp_path):
     assert rewrite("SELECT a FROM t LIMIT 5, 10") == "SELECT a FROM t LIMIT 10 OFFSET 5" and rewrite("GO") == "" and rewrite("SELECT N'x' MINUS SELECT 1") == "SELECT 'x' EXCEPT SELECT 1"
     done, failed, error = Session(spark).batch("SELECT 1 AS a", "SELECT nope FROM nowhere", "SELECT 2")
     assert len(done) == 1 and failed == 1 and error is not None
+
+
+def test_explain_gives_whole_details(spark):
+    from docframe.plans.explain import explain
+
+    df = spark.range(9).where(" OR ".join(f"id * {i} % 7 = {i}" for i in range(2, 40)) + " OR id % 1234567 = 3")
+    assert any(r.op == "FILTER" and "1234567" in r.detail and len(r.detail) > 200 for r in explain(df).collect())
