@@ -8,7 +8,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import kernels as K
 
@@ -33,6 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, whatever their case."""
+    known = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in known:
+            name += "_"
+        known.add(name)
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: Has Spark remove the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

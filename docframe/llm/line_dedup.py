@@ -13,31 +13,48 @@ on.  Each is cut into threshold + 1 segments; two lines within the threshold
 share one of the shorter line's segments, at a place that the lengths bound.  So
 each line is indexed by (length, segment number, segment) and probes the index
 of each length up to ``THRESHOLD`` less with the substrings that the
-multi-match-aware bounds allow.  Pairs that meet, and whose counts of a few
-letters differ by no more than the threshold's edits can change, are verified with the banded bit-parallel
-recurrence: one step for each character between the first and the last
-difference, over a band of 2 * threshold + 1 bits.
+multi-match-aware bounds allow.  Pairs that meet under a key that at most
+``SMALL`` lines are indexed by, and whose counts of a few letters differ by no
+more than the threshold's edits can change (short lines only), are verified with
+the banded bit-parallel recurrence: one step for each character between the first
+and the last difference, over a band of 2 * threshold + 1 bits.
+
+A line needs one earlier line near it, not all of them.  So under a key with more
+lines each line is first compared with the earliest one, then with the earliest
+that is still open; those found near are done, and only lines earlier than the
+last open one stay as partners.  What is left is told apart by the letters: an edit
+changes how often two characters occur at most, so of 2 * threshold + 2 groups of
+characters at least two keep all their counts, and lines meet again only under the
+segment's key joined with two groups' counts.  Nothing is dropped on the way.
 
 Lines are known by a 64-bit hash; a second hash tells collisions, and lines that
 collide stay.  Null texts have no lines.  Documents without doc_id are left
 whole and take no lines from others.  Rows with the same doc_id and text are one
-document, and so are given the same result.
+document, and so are given the same result.  Only doc_id and text are read;
+columns of any other name are carried along as they are.  An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
 
-from string import ascii_lowercase
+from string import ascii_lowercase, digits
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, fresh_names, quoted
 
 #: Characters that a line has at least for edits to be allowed; a shorter one goes for an equal line only.
 SHORTEST = 12
 THRESHOLD = 2
 #: Letters that pairs are first compared by; any eight ASCII characters give right results, frequent ones tell more pairs apart.
 LETTERS = "etaoinsh"
+#: Lines of this many characters and more aren't compared by letters: their segments tell them apart.
+LONG = 64
+#: Lines indexed by one key that all its probes are compared with; larger keys are resolved by stars and by letters.
+SMALL, STARS = 16, 2
+#: Characters that lines under larger keys are told apart by; any choice gives right results.
+COUNTED = ascii_lowercase + digits + " .,-:/"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -48,20 +65,36 @@ def lines(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "row_key", split).where(F.col("line").rlike("[^ \t\r\x0b\x0c]")).withColumns({"id": F.xxhash64("line"), "check": F.hash("line")})
 
 
-def _keys(threshold: int, probe: bool) -> Column:
-    """Hashed (length, number, substring) of a line's own segments, or of its probes into indexes of lengths up to ``threshold`` less."""
+def _places(threshold: int, probe: bool) -> list[tuple[int, int, int]]:
+    """(characters less, segment number, shift) of each key of a line; a probe's own segments are among its places."""
     parts = threshold + 1
     out = []
     for less in range(parts if probe else 1):
-        length = F.char_length("line") - less
         for number in range(parts):
-            short, over = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-            start = short * number + F.greatest(over - F.lit(parts - number), F.lit(0)) + 1
-            size = short + F.when(over >= parts - number, 1).otherwise(0)
             low, high = (max(-number, less - (threshold - number)), min(number, less + (threshold - number))) if probe else (0, 0)
-            for shift in range(low, high + 1):
-                out.append(F.xxhash64(length, F.lit(number), F.substring("line", start + shift, size)))
-    return F.array(*out)
+            out += [(less, number, shift) for shift in range(low, high + 1)]
+    return out
+
+
+def _cut(threshold: int, places: list[tuple[int, int, int]]) -> tuple[Column, Column, Column, Column]:
+    """(length, segment number, start, size) that the key of the place ``at`` stands for, of a text of ``n`` characters."""
+    parts = threshold + 1
+    less, number, shift = (F.get(F.array(*[F.lit(p[i]) for p in places]), F.col("at")) for i in range(3))
+    length = F.col("n") - less
+    short, over = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
+    start = short * number + F.greatest(over - (F.lit(parts) - number), F.lit(0)) + 1 + shift
+    return length, number, start, short + F.when(over >= F.lit(parts) - number, 1).otherwise(0)
+
+
+def keyed(texts: DataFrame, threshold: int, probe: bool) -> DataFrame:
+    """A row for each key of each text (s, n): its hashed length, number and substring, and ``at``, which place that is.
+
+    Places are exploded first and keys taken after, so that the compiled code stays short.
+    """
+    places = _places(threshold, probe)
+    length, number, start, size = _cut(threshold, places)
+    wide = texts.withColumn("at", F.explode(F.array(*[F.lit(i).cast("tinyint") for i in range(len(places))])))
+    return wide.withColumn("made", F.xxhash64(length, number, F.substring(F.col("s"), start, size)))
 
 
 def letter_counts(text: str) -> Column:
@@ -153,24 +186,88 @@ def all_letters_near(left: str, right: str, threshold: int) -> Column:
     return (up <= threshold) & (down <= threshold)
 
 
-def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(id) of lines of which another one within the threshold stands earlier; and the table of distinct lines."""
-    found = lines(docs)
-    # One struct, so that the lines are shuffled once; written, so that they are combined once for the four readers below.
-    heads = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("head"), F.count(F.lit(1)).alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
-    heads = heads.select("id", "times", F.expr("low = high").alias("alone"), F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"))
-    distinct = tables.put(heads.withColumn("letters", letter_counts("line")), "lines")
-    long = distinct.where(F.char_length("line") >= shortest)
-    index = long.select(F.explode(_keys(threshold, probe=False)).alias("key"), F.col("id").alias("x"), F.col("letters").alias("xl"))
-    probe = long.select(F.explode(_keys(threshold, probe=True)).alias("key"), F.col("id").alias("y"), F.col("letters").alias("yl"))
-    pairs = tables.put(index.join(probe, "key").where("x <> y").where(may_be_near("xl", "yl", threshold)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+def later_of_near(pairs: DataFrame, distinct: DataFrame, threshold: int, tables: Written) -> DataFrame:
+    """(id) of the later line of each of the pairs (x, y) that is within the threshold."""
     one = distinct.select(F.col("id").alias("x"), F.col("line").alias("p"), F.col("first").alias("pf"))
     two = distinct.select(F.col("id").alias("y"), F.col("line").alias("q"), F.col("first").alias("qf"))
     met = pairs.join(one, "x").join(two, "y")
     like = met.where(F.abs(F.char_length("p") - F.char_length("q")) <= threshold)
     close = tables.put(trimmed(like.where(all_letters_near("p", "q", threshold)), threshold), "close")
     near = close.where(edit_distance_within("p", "q", threshold))
-    return tables.put(near.select(F.when(F.col("pf") < F.col("qf"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct(), "near"), distinct
+    return tables.put(near.select(F.when(F.col("pf") < F.col("qf"), F.col("y")).otherwise(F.col("x")).alias("id")).distinct(), "near")
+
+
+def met_under_keys(index: DataFrame, probe: DataFrame, threshold: int, small: int, tables: Written) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of lines that share a key of at most ``small`` indexed lines, and the probes (key, id, at) of the other keys.
+
+    One join does both: a large key stands in it as one row without a line.
+    """
+    index = index.select("made", F.col("id").alias("x"), F.col("letters").alias("xl"))
+    large = tables.put(index.groupBy("made").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > small).select("made"), "large")
+    side = index.join(large, "made", "left_anti").unionByName(large.select("made", F.lit(None).cast("bigint").alias("x"), F.lit(None).cast("int").alias("xl")))
+    near = F.coalesce(may_be_near("xl", "letters", threshold), F.lit(True))
+    met = tables.put(side.join(probe, "made").where(F.col("x").isNull() | ((F.col("x") != F.col("id")) & near)).select("made", "x", "id", "at"), "met")
+    pairs = met.where("x IS NOT NULL").select(F.least("x", "id").alias("x"), F.greatest("x", "id").alias("y")).distinct()
+    return pairs, met.where("x IS NULL").select(F.col("made").alias("key"), "id", "at")
+
+
+def starred(entries: DataFrame, gone: DataFrame, distinct: DataFrame, threshold: int, tables: Written) -> DataFrame:
+    """(id) of lines found near the earliest entry of one of their keys, or the earliest that is still open, and of those in ``gone``."""
+    for turn in range(STARS):
+        still = entries.join(gone, "id", "left_anti")
+        head = (entries if turn == 0 else still).groupBy("key").agg(F.min(F.struct("first", "id", "letters")).alias("head"))
+        star = still.join(head, "key").where("head.first < first").where(F.coalesce(may_be_near("head.letters", "letters", threshold), F.lit(True)))
+        found = later_of_near(star.select(F.col("head.id").alias("x"), F.col("id").alias("y")).distinct(), distinct, threshold, tables)
+        gone = tables.put(gone.unionByName(found).distinct(), "gone")
+    return gone
+
+
+def counted(text: str, groups: int) -> tuple[Column, Column]:
+    """How often each of ``COUNTED`` stands in a text, and a hash of these counts for each of the groups they are dealt to."""
+    count = F.transform(F.array(*[F.lit(c) for c in COUNTED]), lambda c: F.octet_length(text) - F.octet_length(F.replace(F.col(text), c, F.lit(""))))
+    of = lambda counts: F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.xxhash64(F.filter(counts, lambda x, i: F.pmod(i, F.lit(groups)) == g)))
+    return count, of("counts")
+
+
+def met_by_letters(entries: DataFrame, distinct: DataFrame, threshold: int, tables: Written) -> DataFrame:
+    """Pairs (x, y) of ``entries(key, id, index)`` of one key whose characters' counts allow so few edits; x is an indexed one."""
+    groups = 2 * threshold + 2
+    count, hashes = counted("line", groups)
+    lines_ = distinct.join(entries.select("id").distinct(), "id", "left_semi").withColumn("counts", count).select("id", "counts", hashes.alias("hashes"))
+    two = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(groups) for j in range(i)])).alias("two")
+    wide = entries.join(tables.put(lines_, "counts"), "id").select("key", "id", "index", "counts", "hashes", two)
+    wide = wide.select(F.xxhash64("key", "two", F.get("hashes", F.col("two.i")), F.get("hashes", F.col("two.j"))).alias("made"), "id", "index", "counts")
+    less = F.zip_with("xc", "counts", lambda a, b: a - b)
+    change = lambda sign: F.aggregate(less, F.lit(0), lambda n, d: n + F.greatest(sign * d, F.lit(0))) <= threshold
+    side = wide.where("index").select("made", F.col("id").alias("x"), F.col("counts").alias("xc"))
+    return side.join(wide, "made").where("x <> id").where(change(1) & change(-1)).select(F.least("x", "id").alias("x"), F.greatest("x", "id").alias("y")).distinct()
+
+
+def near_lines(docs: DataFrame, tables: Written, shortest: int = SHORTEST, threshold: int = THRESHOLD, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(id) of lines of which another one within the threshold stands earlier; and the table of distinct lines."""
+    found = lines(docs)
+    # One struct, so that the lines are shuffled once; written, so that they are combined once for the readers below.
+    heads = found.groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("head"), F.count(F.lit(1)).alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
+    heads = heads.select("id", "times", F.expr("low = high").alias("alone"), F.struct("head.doc_id", "head.line_no").alias("first"), F.col("head.line").alias("line"), F.char_length("head.line").alias("n"))
+    distinct = tables.put(heads.withColumn("letters", F.when(F.col("n") < LONG, letter_counts("line"))), "lines")
+    long = distinct.where(F.col("n") >= shortest).select("id", "n", "letters", F.col("line").alias("s"))
+    index, probe = (keyed(long, threshold, side).select("made", "at", "id", "letters") for side in (False, True))
+    pairs, hot = met_under_keys(tables.put(index, "index"), probe, threshold, small, tables)
+    pairs = tables.put(pairs, "pairs")
+    # Few lines meet others: these alone are read from here on.  Each side has an id once, so the ids of a partition are few.
+    meeting = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).unionByName(hot.select("id")).distinct()
+    wanted = tables.put(distinct.join(meeting.hint("shuffle_hash"), "id", "left_semi"), "wanted")
+    near = later_of_near(pairs, wanted, threshold, tables)
+    if hot.isEmpty():
+        return near, distinct
+    own = [i for i, place in enumerate(_places(threshold, True)) if place[0] == place[2] == 0]  # of a probe, the line's own segments
+    entries = tables.put(hot.join(wanted.select("id", "first", "letters"), "id").withColumn("index", F.col("at").isin(own)), "entries")
+    near = starred(entries, near, wanted, threshold, tables)
+    marked = entries.join(near.withColumn("gone", F.lit(True)), "id", "left")
+    bound = marked.where("gone IS NULL").groupBy("key").agg(F.max("first").alias("last"))
+    left = tables.put(marked.join(bound, "key").where("first <= last").select("key", "id", "index").distinct(), "left")
+    rest = later_of_near(tables.put(met_by_letters(left, wanted, threshold, tables), "pairs"), wanted, threshold, tables)
+    return near.unionByName(rest).distinct(), distinct
 
 
 def removed_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> DataFrame:
@@ -186,21 +283,21 @@ def removed_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = TH
 
 def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> DataFrame:
     """The rows and columns of ``docs`` without the lines that go; ``n_chars``, if present, follows the text."""
-    gone = removed_lines(docs, shortest, threshold).select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), F.col("removed").alias("_removed"))
-    marked = docs.withColumn("_own", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_key")), "left")
-    cut = marked.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    text = F.when(F.size("_removed") > 0, kept).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.size("_removed") > 0, F.char_length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return cut.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    doc, key, own, lost = fresh_names(docs, "doc", "key", "own", "removed")
+    gone = removed_lines(docs, shortest, threshold).select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("removed").alias(lost))
+    marked = docs.withColumn(own, F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(key)), "left")
+    cut = marked.withColumn(lost, F.coalesce(lost, F.array().cast("array<int>")))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    text = F.when(F.size(lost) > 0, kept).otherwise(F.col("text"))
+    new = {"text": text} | ({"n_chars": F.when(F.size(lost) > 0, F.char_length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return cut.select(*[new[c].alias(c) if c in new else quoted(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, shortest: int = SHORTEST, threshold: int = THRESHOLD) -> DataFrame:
     """Per row doc_id, its lines, its long lines, and the numbers of the lines removed, joined by commas."""
-    split = F.split("text", "\n")
-    count = F.coalesce(F.size(split), F.lit(0)).cast("bigint")
-    long = F.coalesce(F.size(F.filter(split, lambda x: F.char_length(x) >= shortest)), F.lit(0)).cast("bigint")
-    sizes = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.when(F.col("text").isNull(), 0).otherwise(count).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(long).alias("n_long"))
+    count = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    long = F.regexp_count(F.col("text"), F.lit(f"[^\\n]{{{shortest},}}"))  # a match takes the whole line
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("row_key"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for c, n in ((count, "n_lines"), (long, "n_long"))])
     joined = sizes.join(removed_lines(docs, shortest, threshold), ["doc_id", "row_key"], "left")
     stay = F.col("removed").isNull()
     return joined.select(
