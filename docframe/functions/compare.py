@@ -37,14 +37,21 @@ def ge(a, b) -> Column:
     return le(b, a)
 
 
+def known(test: Column, *operands) -> Column:
+    """A test that is null only for null operands, as false for these; its parts still reach the scan."""
+    for x in operands:
+        test = col(x).isNotNull() & test
+    return test
+
+
 def between(x, low, high) -> Column:
     """False if any operand is null."""
-    return F.coalesce(col(x).between(col(low), col(high)), F.lit(False))
+    return known(col(x).between(col(low), col(high)), x, low, high)
 
 
 def not_between(x, low, high) -> Column:
     """False, too, if any operand is null."""
-    return F.coalesce(~col(x).between(col(low), col(high)), F.lit(False))
+    return known((col(x) < col(low)) | (col(x) > col(high)), x, low, high)
 
 
 def in_list(x, *values) -> Column:
@@ -83,13 +90,13 @@ def like(x, pattern: str, escape: str | None = None) -> Column:
     """False for null.  Plain patterns stay LIKE, so that prefixes reach the scan."""
     x = col(x)
     if "[" in pattern:
-        return F.coalesce(x.rlike(like_pattern(pattern, escape)), F.lit(False))
+        return known(x.rlike(like_pattern(pattern, escape)), x)
     test = F.like(x, F.lit(pattern), F.lit(escape)) if escape else x.like(pattern)
-    return F.coalesce(test, F.lit(False))
+    return known(test, x)
 
 
 def ilike(x, pattern: str) -> Column:
-    return F.coalesce(col(x).ilike(pattern), F.lit(False))
+    return known(col(x).ilike(pattern), x)
 
 
 # Arithmetic: overflow and division by zero give null, integers divide towards zero.

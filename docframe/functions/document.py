@@ -59,10 +59,34 @@ def hashbytes(algorithm: str, x) -> Column:
     return F.unhex({"MD5": F.md5, "SHA": F.sha1, "SHA1": F.sha1, "SHA2_256": lambda c: F.sha2(c, 256)}[algorithm](x))
 
 
-def checksum(x) -> Column:
-    """FNV-1a of the text, folded over its bytes in 32 bits so that no product overflows."""
-    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(col(x).cast("string"), "utf-8")), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("bigint"))
-    return F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda a, b: F.pmod(a.bitwiseXOR(b) * F.lit(16777619), F.lit(4294967296)))
+def _literal(x) -> Column:
+    """A text or integer as SQL spells it."""
+    x = col(x)
+    text = F.concat(F.lit("'"), F.replace(x.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.coalesce(F.when(F.typeof(x) == "string", text).when(F.typeof(x) == "boolean", F.upper(x.cast("string"))).otherwise(x.cast("string")), F.lit("NULL"))
+
+
+def checksum(*values) -> Column:
+    """64-bit FNV-1a over the SQL literals of texts, integers and booleans, each followed by the unit separator.
+
+    The state is kept in two halves of 32 bits, so that no product overflows.
+    """
+    if not values:
+        raise ValueError("checksum needs an argument")
+    whole = F.concat(*[part for v in values for part in (_literal(v), F.lit("\x1f"))])
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(whole, "utf-8")), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("bigint"))
+    # Fixed values of the hash: its offset basis and its prime, 2**40 + 0x1B3.
+    basis, high_prime, low_prime, low_bits = 0xCBF29CE484222325, 0x100, 0x1B3, 0xFFFFFFFF
+    number = lambda n: F.lit(n).cast("bigint")
+    start = F.struct(number(basis >> 32).alias("hi"), number(basis & low_bits).alias("lo"))
+
+    def step(h: Column, byte: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(byte)
+        carry = F.shiftright(lo * number(low_prime), 32)
+        hi = h["hi"] * number(low_prime) + lo * number(high_prime) + carry
+        return F.struct(hi.bitwiseAND(number(low_bits)).alias("hi"), (lo * number(low_prime)).bitwiseAND(number(low_bits)).alias("lo"))
+
+    return F.aggregate(codes, start, step, lambda h: F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"]))
 
 
 def newid() -> Column:

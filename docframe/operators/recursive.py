@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from docframe.sources.scratch import scratch_path
+
 MAX_ROUNDS, MAX_ROWS = 100, 100_000
 
 
@@ -18,11 +18,7 @@ def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], distinc
     own folder is set only where the session names none.
     """
     spark = anchor.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        here = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = here.get() if here.isDefined() else "file://" + tempfile.mkdtemp(prefix="docframe-")
-    root = f"{folder}/recursive-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "recursive")
 
     def kept(df: DataFrame, n: int) -> DataFrame:
         df.write.parquet(f"{root}/{n}")

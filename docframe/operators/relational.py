@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docframe.functions.compare import ge, gt, le, lt
+from docframe.sources.scratch import written
 
 
 def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
@@ -113,51 +115,61 @@ def keyset_page(df: DataFrame, key: str, after, n: int) -> DataFrame:
     return df.where(F.col(key) > F.lit(after)).orderBy(key).limit(n)
 
 
-def with_ties(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first n rows and all peers of the last.
+class SortKey(NamedTuple):
+    """A sort key; null is the least value unless ``nulls_first`` says where it goes."""
+
+    column: Column
+    descending: bool = False
+    nulls_first: bool | None = None
+
+    def at_first(self) -> bool:
+        return not self.descending if self.nulls_first is None else self.nulls_first
+
+    def sort(self, column: Column, reverse: bool = False) -> Column:
+        first = self.at_first() != reverse
+        if self.descending != reverse:
+            return column.desc_nulls_first() if first else column.desc_nulls_last()
+        return column.asc_nulls_first() if first else column.asc_nulls_last()
+
+    def before(self, a: Column, b: Column) -> Column:
+        nulls = a.isNull() & b.isNotNull() if self.at_first() else a.isNotNull() & b.isNull()
+        return nulls | F.coalesce(a > b if self.descending else a < b, F.lit(False))
+
+
+def with_ties(df: DataFrame, n: int, *order: SortKey | Column) -> DataFrame:
+    """The first n rows and all peers of the last; a bare column sorts ascending.
 
     The n-th key is found with a top-n, which is one row; the rows up to it are a
     filter.  So no window sorts the table in one task.
     """
-    keys = [f"_k{i}" for i in range(len(order))]
-    bare = [F.expr(_without_order(c)) for c in order]
-    keyed = df.withColumns(dict(zip(keys, bare, strict=True)))
-    directions = [_direction(c) for c in order]
-    sort = [F.col(k).desc_nulls_last() if d else F.col(k).asc_nulls_first() for k, d in zip(keys, directions, strict=True)]
-    edge = keyed.orderBy(*sort).limit(n).select(*keys).orderBy(*[F.col(k).asc_nulls_first() if d else F.col(k).desc_nulls_last() for k, d in zip(keys, directions, strict=True)]).limit(1).toDF(*[f"_e{i}" for i in range(len(order))])
+    keys = [k if isinstance(k, SortKey) else SortKey(k) for k in order]
+    names = [f"_k{i}" for i in range(len(keys))]
+    edges = [f"_e{i}" for i in range(len(keys))]
+    keyed = df.withColumns({c: k.column for c, k in zip(names, keys, strict=True)})
+    first = keyed.orderBy(*[k.sort(F.col(c)) for c, k in zip(names, keys, strict=True)]).limit(n).select(*names)
+    edge = first.orderBy(*[k.sort(F.col(c), reverse=True) for c, k in zip(names, keys, strict=True)]).limit(1).toDF(*edges)
     before, same = F.lit(False), F.lit(True)
-    for i, (k, d) in enumerate(zip(keys, directions, strict=True)):
-        a, b = F.col(k), F.col(f"_e{i}")
-        before = before | (same & (gt(a, b) if d else lt(a, b)))
-        same = same & a.eqNullSafe(b)
+    for c, e, k in zip(names, edges, keys, strict=True):
+        before = before | (same & k.before(F.col(c), F.col(e)))
+        same = same & F.col(c).eqNullSafe(F.col(e))
     return keyed.crossJoin(F.broadcast(edge)).where(before | same).select(*df.columns)
 
 
-def _direction(c: Column) -> bool:
-    return " DESC " in f" {c._jc.toString()} "
-
-
-def _without_order(c: Column) -> str:
-    text = c._jc.toString()
-    for tail in (" ASC NULLS FIRST", " ASC NULLS LAST", " DESC NULLS FIRST", " DESC NULLS LAST"):
-        if text.endswith(tail):
-            return text[: -len(tail)]
-    return text
-
-
 def rownum(df: DataFrame, *scan_key: Column, name: str = "rownum") -> DataFrame:
     """Rows numbered from 1 in scan order, before any filter.
 
-    Blocks of the range-sorted table are counted first; each row's number is its
-    place in its block plus the rows of the blocks before, so that only one row
-    a block meets in one task.
+    The range-sorted rows are written once with their task's number and their
+    place in the task, so that the sizes of the tasks and the rows come from the
+    same evaluation.  A row's number is its place plus the rows of the tasks
+    before; only one row a task meets in one task.
     """
-    key = [c for c in df.columns]
-    ordered = df.orderBy(*scan_key).withColumn("_at", F.monotonically_increasing_id())
-    split = ordered.select(*key, F.shiftright("_at", 33).alias("_block"), (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("_place"))
+    keys = df.columns
+    ordered = df.orderBy(*scan_key) if scan_key else df
+    at = ordered.withColumn("_at", F.monotonically_increasing_id())
+    split = written(at.select(*keys, F.shiftright("_at", 33).alias("_block"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "numbered")
     sizes = split.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return split.join(F.broadcast(before), "_block").select(*key, (F.col("_before") + F.col("_place") + 1).alias(name))
+    return split.join(F.broadcast(before), "_block").select(*keys, (F.col("_before") + F.col("_place") + 1).alias(name))
 
 
 # Reshaping.

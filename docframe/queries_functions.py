@@ -98,7 +98,16 @@ family(
     "hash_bytes", "part", "p_partkey",
     a=(lambda: F.lower(F.hex(D.hashbytes("MD5", "p_name"))), "md5(p_name)"), b=(lambda: F.lower(F.hex(D.hashbytes("SHA1", "p_name"))), "sha1(p_name)"), c=(lambda: F.lower(F.hex(D.hashbytes("SHA2_256", "p_name"))), "sha256(p_name)"),
 )
-query("hash_checksum")(lambda t: t.nation.select("n_nationkey", D.checksum("n_name").alias("v")))
+# FNV-1a in 128-bit integers over the bytes of the literals; the names are ASCII.
+_FNV = (
+    "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS UHUGEINT))),"
+    " lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+)
+_NAMED = "'''' || replace(n_name, '''', '''''') || '''' || chr(31) || CAST(n_regionkey AS VARCHAR) || chr(31) || 'NULL' || chr(31)"
+query(
+    "hash_checksum",
+    f"SELECT n_nationkey, CAST(CASE WHEN h >= 9223372036854775808 THEN CAST(h AS HUGEINT) - 18446744073709551616 ELSE CAST(h AS HUGEINT) END AS BIGINT) AS v FROM (SELECT n_nationkey, {_FNV.format(_NAMED)} AS h FROM nation)",
+)(lambda t: t.nation.select("n_nationkey", D.checksum("n_name", "n_regionkey", F.lit(None).cast("string")).alias("v")))
 query("newid", "SELECT count(*) AS n, true AS ok FROM nation")(lambda t: t.nation.select(D.newid().alias("u")).agg(F.count_distinct("u").alias("n"), F.bool_and(F.col("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}$")).alias("ok")))
 query("typeof", "SELECT 'integer' AS a, 'text' AS b, 'float' AS c, 'timestamp' AS d")(lambda t: t.spark.range(1).select(*[F.lit(N.typeof(dict(t.orders.dtypes)[c])).alias(n) for n, c in (("a", "o_orderkey"), ("b", "o_orderstatus"), ("c", "o_totalprice"), ("d", "o_orderdate"))]))
 query("rand_per_statement", "SELECT 1 AS n")(lambda t: t.nation.select(N.rand().alias("r")).agg(F.count_distinct("r").cast("int").alias("n")))

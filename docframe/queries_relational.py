@@ -48,21 +48,25 @@ query("fromless", "SELECT 1 AS a, 'x' AS b")(lambda t: t.spark.range(1).select(F
 query("dual", "SELECT 7 AS a")(lambda t: R.dual(t.spark).select(F.lit(7).alias("a")))
 query("values_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(column1, column2)")(lambda t: R.values(t.spark, (1, "a"), (2, "b"), (3, None)))
 query("derived_table", "SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) WHERE n > 12")(lambda t: t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 12"))
-query("union_of_fields", "SELECT n_nationkey AS id, n_name AS name, NULL::INTEGER AS size FROM nation UNION ALL SELECT CAST(p_partkey AS INTEGER), NULL, p_size FROM part WHERE p_partkey < 20")(lambda t: R.union_of_fields(t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), t.part.where("p_partkey < 20").select(F.col("p_partkey").cast("int").alias("id"), F.col("p_size").alias("size"))))
+query("union_of_fields", "SELECT n_nationkey AS id, n_name AS name, NULL::INTEGER AS size FROM nation UNION ALL SELECT CAST(p_partkey AS INTEGER), NULL, p_size FROM part")(lambda t: R.union_of_fields(t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), t.part.select(F.col("p_partkey").cast("int").alias("id"), F.col("p_size").alias("size"))))
 
 # Joins.
 query("join_inner", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda t: R.equi_join(t.nation, t.region, [("n_regionkey", "r_regionkey")]).select("n_name", "r_name"))
 query("join_composite", "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey")(lambda t: R.equi_join(t.lineitem, t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")), [("l_orderkey", "k"), ("l_suppkey", "s")]).agg(F.count(F.lit(1)).alias("n")))
-_HALF = "(SELECT * FROM orders WHERE o_orderkey % 2 = 0)"
+_HALF = "(SELECT * FROM orders WHERE o_orderstatus = 'F')"
 for _how, _word in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
-    query(f"join_{_how}", f"SELECT c_custkey, count(o_orderkey) AS n FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {_word} JOIN {_HALF} o ON c_custkey = o_custkey GROUP BY 1")(lambda t, how=_how: R.equi_join(t.customer.where("c_custkey % 3 <> 0"), t.orders.where("o_orderkey % 2 = 0"), [("c_custkey", "o_custkey")], how).groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")))
+    query(f"join_{_how}", f"SELECT c_custkey, count(o_orderkey) AS n FROM (SELECT * FROM customer WHERE c_acctbal > 0) c {_word} JOIN {_HALF} o ON c_custkey = o_custkey GROUP BY 1")(lambda t, how=_how: R.equi_join(t.customer.where("c_acctbal > 0"), t.orders.where("o_orderstatus = 'F'"), [("c_custkey", "o_custkey")], how).groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")))
 query("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")(lambda t: t.region.crossJoin(t.nation).select("r_name", "n_name"))
 query("join_comma", "SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey AND n_nationkey > 5")(lambda t: t.region.crossJoin(t.nation).where("r_regionkey = n_regionkey AND n_nationkey > 5").select("r_name", "n_name"))
 query("join_theta", "SELECT a.s_suppkey AS x, b.n_nationkey AS y FROM supplier a JOIN nation b ON a.s_nationkey < b.n_nationkey AND a.s_acctbal > 0")(lambda t: R.theta_join(t.supplier, t.nation, (F.col("s_nationkey") < F.col("n_nationkey")) & (F.col("s_acctbal") > 0)).select(F.col("s_suppkey").alias("x"), F.col("n_nationkey").alias("y")))
 query("join_using", "SELECT a.k, a.n_name, b.k AS k_r, b.r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT r_regionkey AS k, r_name FROM region) b USING (k)")(lambda t: R.join_using(t.nation.select(F.col("n_regionkey").alias("k"), "n_name"), t.region.select(F.col("r_regionkey").alias("k"), "r_name"), ["k"]))
 query("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")(lambda t: t.nation.alias("a").join(t.nation.alias("b"), F.expr("a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")).select(F.col("a.n_name").alias("x"), F.col("b.n_name").alias("y")))
-query("join_nullsafe", f"SELECT count(*) AS n FROM (SELECT a FROM {_NULLED} WHERE event_id < 300) x JOIN (SELECT b FROM {_NULLED} WHERE event_id < 200) y ON x.a IS NOT DISTINCT FROM y.b")(lambda t: R.equi_join(nulled(t).where("event_id < 300").select("a"), nulled(t).where("event_id < 200").select("b"), [("a", "b")]).agg(F.count(F.lit(1)).alias("n")))
-query("join_text_timestamp", "SELECT count(*) AS n FROM orders a JOIN (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_orderkey < 100) b ON a.o_orderdate = CAST(b.d AS TIMESTAMP)")(lambda t: t.orders.join(t.orders.where("o_orderkey < 100").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).distinct(), F.expr("o_orderdate = try_cast(d AS timestamp_ntz)")).agg(F.count(F.lit(1)).alias("n")))
+query("join_nullsafe", f"SELECT CAST(sum(x.n * y.n) AS BIGINT) AS n FROM (SELECT a, count(*) AS n FROM {_NULLED} GROUP BY a) x JOIN (SELECT b, count(*) AS n FROM {_NULLED} GROUP BY b) y ON x.a IS NOT DISTINCT FROM y.b")(
+    lambda t: R.equi_join(nulled(t).groupBy("a").agg(F.count(F.lit(1)).alias("m")), nulled(t).groupBy("b").agg(F.count(F.lit(1)).alias("k")), [("a", "b")]).agg(F.sum(F.col("m") * F.col("k")).alias("n"))
+)
+query("join_text_timestamp", "SELECT count(*) AS n FROM orders a JOIN (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_totalprice > 200000) b ON a.o_orderdate = CAST(b.d AS TIMESTAMP)")(
+    lambda t: t.orders.join(t.orders.where("o_totalprice > 200000").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).distinct(), F.expr("o_orderdate = try_cast(d AS timestamp_ntz)")).agg(F.count(F.lit(1)).alias("n"))
+)
 
 
 @query("join_chain", """SELECT n_name, count(*) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
@@ -75,9 +79,9 @@ def join_chain(t):
 
 
 query("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")(lambda t: R.semi_in(t.customer, "c_custkey", t.orders.where("o_totalprice > 300000").select("o_custkey")).select("c_custkey"))
-query("semi_in_null", f"SELECT event_id FROM {_NULLED} x WHERE EXISTS (SELECT 1 FROM (SELECT b FROM {_NULLED} WHERE event_id < 5) y WHERE x.a IS NOT DISTINCT FROM y.b)")(lambda t: R.semi_in(nulled(t), "a", nulled(t).where("event_id < 5").select("b")).select("event_id"))
+query("semi_in_null", f"SELECT event_id FROM {_NULLED} x WHERE EXISTS (SELECT 1 FROM (SELECT b FROM {_NULLED} WHERE b IS NULL OR b > 2) y WHERE x.a IS NOT DISTINCT FROM y.b)")(lambda t: R.semi_in(nulled(t), "a", nulled(t).where("b IS NULL OR b > 2").select("b")).select("event_id"))
 query("semi_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")(lambda t: R.exists(t.customer, t.orders, F.expr("o_custkey = c_custkey AND o_orderstatus = 'P'")).select("c_custkey"))
-query("anti_not_in", f"SELECT event_id FROM {_NULLED} x WHERE NOT EXISTS (SELECT 1 FROM (SELECT b FROM {_NULLED} WHERE event_id < 3) y WHERE x.a IS NOT DISTINCT FROM y.b)")(lambda t: R.anti_in(nulled(t), "a", nulled(t).where("event_id < 3").select("b")).select("event_id"))
+query("anti_not_in", f"SELECT event_id FROM {_NULLED} x WHERE NOT EXISTS (SELECT 1 FROM (SELECT b FROM {_NULLED} WHERE b IS NULL OR b > 2) y WHERE x.a IS NOT DISTINCT FROM y.b)")(lambda t: R.anti_in(nulled(t), "a", nulled(t).where("b IS NULL OR b > 2").select("b")).select("event_id"))
 query("anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")(lambda t: R.not_exists(t.customer, t.orders, F.expr("o_custkey = c_custkey")).select("c_custkey"))
 
 # Aggregates.
@@ -131,20 +135,26 @@ query("win_string", "SELECT n_nationkey, string_agg(n_name, '>') OVER (PARTITION
 query("qualify_top1", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1")(lambda t: X.qualify(t.events, F.col("_q_n") == 1, n=F.row_number().over(W.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id"))).select("user_id", "event_id"))
 
 # Order and limits.
-query("order_nulls", f"SELECT event_id FROM (SELECT * FROM {_NULLED} ORDER BY a ASC NULLS LAST, event_id LIMIT 25) UNION ALL SELECT event_id FROM (SELECT * FROM {_NULLED} ORDER BY a DESC NULLS LAST, event_id DESC LIMIT 25)")(lambda t: nulled(t).orderBy(F.col("a").asc_nulls_last(), "event_id").limit(25).select("event_id").union(nulled(t).orderBy(F.col("a").desc_nulls_last(), F.col("event_id").desc()).limit(25).select("event_id")))
-query("order_default_nulls", f"SELECT event_id, a FROM (SELECT * FROM {_NULLED} ORDER BY a NULLS FIRST, event_id LIMIT 40)")(lambda t: R.top(nulled(t).select("event_id", "a"), 40, F.col("a"), F.col("event_id")))
+query("order_nulls", f"SELECT event_id, row_number() OVER (ORDER BY a ASC NULLS LAST, event_id) AS up, row_number() OVER (ORDER BY a DESC NULLS LAST, event_id DESC) AS down FROM {_NULLED}")(
+    lambda t: R.rownum(nulled(t), F.col("a").asc_nulls_last(), F.col("event_id"), name="up").select("event_id", "up").join(R.rownum(nulled(t), F.col("a").desc_nulls_last(), F.col("event_id").desc(), name="down").select("event_id", "down"), "event_id")
+)
+query("order_default_nulls", f"SELECT event_id, a, row_number() OVER (ORDER BY a NULLS FIRST, event_id) AS n FROM {_NULLED}")(lambda t: R.rownum(nulled(t).select("event_id", "a"), F.col("a"), F.col("event_id"), name="n"))
 query("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 35")(lambda t: R.page(t.orders.select("o_orderkey", "o_totalprice"), 35, 20, F.col("o_totalprice").desc(), F.col("o_orderkey")).select("o_orderkey"))
 query("top_n", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 15")(lambda t: R.top(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), 15, F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")))
-query("with_ties", "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size DESC, p_brand) <= 12")(lambda t: R.with_ties(t.part, 12, F.col("p_size").desc(), F.col("p_brand").asc()).select("p_partkey", "p_size"))
+query("with_ties", "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size DESC, p_brand) <= 12")(lambda t: R.with_ties(t.part, 12, R.SortKey(F.col("p_size"), descending=True), F.col("p_brand")).select("p_partkey", "p_size"))
 query("keyset_page", "SELECT o_orderkey FROM orders WHERE o_orderkey > 400 ORDER BY o_orderkey LIMIT 20")(lambda t: R.keyset_page(t.orders.select("o_orderkey"), "o_orderkey", 400, 20))
+query("with_ties_nulls", f"SELECT event_id, a FROM {_NULLED} QUALIFY rank() OVER (ORDER BY a DESC NULLS FIRST) <= 7 UNION ALL SELECT event_id, a FROM {_NULLED} QUALIFY rank() OVER (ORDER BY a ASC NULLS LAST) <= 7")(
+    lambda t: R.with_ties(nulled(t), 7, R.SortKey(F.col("a"), descending=True, nulls_first=True)).select("event_id", "a").union(R.with_ties(nulled(t), 7, R.SortKey(F.col("a"), nulls_first=False)).select("event_id", "a"))
+)
+query("rownum_lineitem", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem")(lambda t: R.rownum(t.lineitem, F.col("l_orderkey"), F.col("l_linenumber"), name="rn").select("l_orderkey", "l_linenumber", "rn"))
 query("rownum_before_where", "SELECT c_custkey, rn FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) WHERE c_nationkey = 3")(lambda t: R.rownum(t.customer, F.col("c_custkey"), name="rn").where("c_nationkey = 3").select("c_custkey", "rn"))
 
 # Sets and subqueries.
-_A, _B = "SELECT o_custkey % 50 AS k FROM orders WHERE o_orderkey % 2 = 0", "SELECT o_custkey % 70 AS k FROM orders WHERE o_orderkey % 3 = 0"
+_A, _B = "SELECT o_custkey % 50 AS k FROM orders WHERE o_orderstatus = 'F'", "SELECT o_custkey % 70 AS k FROM orders WHERE o_totalprice > 100000"
 
 
 def _sets(t):
-    return t.orders.where("o_orderkey % 2 = 0").select((F.col("o_custkey") % 50).alias("k")), t.orders.where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 70).alias("k"))
+    return t.orders.where("o_orderstatus = 'F'").select((F.col("o_custkey") % 50).alias("k")), t.orders.where("o_totalprice > 100000").select((F.col("o_custkey") % 70).alias("k"))
 
 
 for _name, _op, _f in (("union_all", "UNION ALL", R.union_all), ("union_distinct", "UNION", R.union_distinct), ("intersect", "INTERSECT", R.intersect), ("intersect_all", "INTERSECT ALL", lambda a, b: R.intersect(a, b, True)), ("except", "EXCEPT", R.except_), ("except_all", "EXCEPT ALL", lambda a, b: R.except_(a, b, True))):

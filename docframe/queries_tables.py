@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +9,13 @@ from docframe.catalogue import query
 from docframe.plans.explain import explain
 from docframe.plans.script import Session
 from docframe.sources import files
+from docframe.sources.scratch import scratch_path
 from docframe.sources.store import Database, ForeignKey, Index, Table, Trigger  # noqa: F401
 from docframe.streaming.pubsub import Log, windowed_counts
 
 
 def folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/tables-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="docframe-")
+    return scratch_path(spark, "tables")
 
 
 def database(t) -> Database:

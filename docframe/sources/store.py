@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docframe.operators.relational import rownum
+
 
 class ConstraintError(ValueError):
     """A statement would leave a table invalid."""
@@ -200,7 +202,7 @@ class Database:
         new = self._filled(t, old, rows)
         keys = [k for k in [(t.primary_key,) if t.primary_key else None, *t.unique, *[i.columns for i in t.indexes if i.unique and not i.where]] if k]
         keys = [target] if target else keys
-        new = self._kept(new, f"candidates-{name}").withColumn("_pos", F.monotonically_increasing_id())
+        new = self._kept(new.withColumn("_pos", F.monotonically_increasing_id()), f"candidates-{name}")
         self._fire(name, "insert", "before", None, new.drop("_pos"))
         if on_conflict == "error" or not keys:
             fresh, rest, gone = new, old, None
@@ -244,7 +246,7 @@ class Database:
         if source is None:
             after = old.select(*[(F.when(hit, sets[c]).otherwise(F.col(c)) if c in sets else F.col(c)).cast(t.schema[c].dataType).alias(c) for c in names], hit.alias("_hit"), F.struct(*names).alias("_old"))
         else:
-            marked = self._kept(old, f"numbered-{name}").withColumn("_rid", F.monotonically_increasing_id())
+            marked = self._kept(old.withColumn("_rid", F.monotonically_increasing_id()), f"numbered-{name}")
             s = source.select(F.struct(*source.columns).alias("_s"))
             pairs = marked.alias("t").join(source.alias("s"), hit).select("t._rid", *[sets[c].alias(f"_set_{c}") for c in sets], *[o.alias(f"_o{i}") for i, o in enumerate(order or [])])
             del s
@@ -265,7 +267,7 @@ class Database:
         if source is None:
             marked = old.withColumn("_hit", hit)
         else:
-            numbered = self._kept(old, f"numbered-{name}").withColumn("_rid", F.monotonically_increasing_id())
+            numbered = self._kept(old.withColumn("_rid", F.monotonically_increasing_id()), f"numbered-{name}")
             gone = numbered.alias("t").join(source.alias("s"), hit, "left_semi").select("_rid").withColumn("_g", F.lit(True))
             marked = numbered.join(gone, "_rid", "left").withColumn("_hit", F.coalesce("_g", F.lit(False)))
         marked = self._kept(marked.select(*old.columns, "_hit"), f"marked-{name}")
@@ -279,8 +281,8 @@ class Database:
         """One MATCHED UPDATE and one NOT MATCHED INSERT arm; the target is ``t``, the source ``s``."""
         t = self.tables[name]
         names = t.schema.names
-        target = self._kept(self.read(name), f"target-{name}").withColumn("_rid", F.monotonically_increasing_id())
-        given = self._kept(source, f"source-{name}").withColumn("_sid", F.monotonically_increasing_id())
+        target = self._kept(self.read(name).withColumn("_rid", F.monotonically_increasing_id()), f"target-{name}")
+        given = self._kept(source.withColumn("_sid", F.monotonically_increasing_id()), f"source-{name}")
         a, b = target.alias("t"), given.alias("s")
         pairs = a.join(b, on)
         if update is not None and pairs.groupBy("t._rid").count().where("count > 1").limit(1).count():
@@ -370,8 +372,8 @@ class Database:
         if t.autoincrement:
             k = t.autoincrement
             start = max(old.agg(F.coalesce(F.max(k), F.lit(0))).first()[0], filled.agg(F.coalesce(F.max(k), F.lit(0))).first()[0])
-            numbered = self._kept(filled, "numbered").withColumn("_pos", F.monotonically_increasing_id())
-            wanting = numbered.where(F.col(k).isNull()).withColumn(k, F.lit(start) + F.row_number().over(Window.orderBy("_pos")))
+            numbered = self._kept(filled.withColumn("_pos", F.monotonically_increasing_id()), "numbered")
+            wanting = rownum(numbered.where(F.col(k).isNull()), F.col("_pos"), name="_n").withColumn(k, F.lit(start) + F.col("_n")).drop("_n")
             filled = numbered.where(F.col(k).isNotNull()).unionByName(wanting.withColumn(k, F.col(k).cast(t.schema[k].dataType))).orderBy("_pos").drop("_pos")
         return filled
 

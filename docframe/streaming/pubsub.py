@@ -14,6 +14,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docframe.operators.relational import rownum
+
 SCHEMA = "id bigint, channel string, ts_ms bigint, payload string"
 
 
@@ -52,8 +54,8 @@ class Log:
         """Append (channel, payload[, ts_ms]) rows; returns the last id."""
         last = self.messages().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         stamped = rows if "ts_ms" in rows.columns else rows.withColumn("ts_ms", F.lit(int(time.time() * 1000)))
-        ids = F.row_number().over(Window.orderBy(*(order or ["ts_ms", "channel", "payload"])))
-        made = stamped.select((ids + F.lit(last)).cast("bigint").alias("id"), "channel", F.col("ts_ms").cast("bigint").alias("ts_ms"), "payload")
+        numbered = rownum(stamped, *[F.col(c) for c in order or ["ts_ms", "channel", "payload"]], name="_n")
+        made = numbered.select((F.col("_n") + F.lit(last)).cast("bigint").alias("id"), "channel", F.col("ts_ms").cast("bigint").alias("ts_ms"), "payload")
         made.write.mode("append").parquet(self.path)
         return self.messages().agg(F.max("id")).first()[0] or 0
 
