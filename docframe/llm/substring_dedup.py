@@ -1,27 +1,32 @@
 """Substring deduplication by level-wise doubling of repeated word windows.
 
 Windows of ``length`` consecutive words that other documents hold too are found
-level by level.  The first level is ``length`` halved until ``FIRST`` words
-would be undercut.  There, of each text the windows are taken whose hash is the
-least among some run of them that a window of twice the length spans: equal
-windows of the next level take the same, so none is lost, and about two in
-``FIRST + 2`` remain.  Those that one document has alone end there; around the
-others the windows of twice the length are formed and counted again, and so on
-until ``length`` is reached or no candidates survive.
+level by level: ``length`` is halved until ``FIRST`` words would be undercut, and
+each level's windows are at most twice as long as those of the one before.
+
+At the first level, of each text the windows are taken whose hash is the least
+among those of some run of ``length`` words: equal runs take the same, so none is
+lost, and about two in ``length - FIRST + 2`` remain.  Windows that one document
+has alone end there.  Each other one is extended to the next length, once to the
+right and once to the left: a run of ``length`` words around it holds one of the
+two.  These are counted in turn, and so on; at the last level all windows of
+``length`` words around a survivor are formed.  The loop ends when no candidates
+survive.
 
 A word goes if a window over it also starts in a document with a smaller
 doc_id, judged on the input.  Texts with equal word sequences are found first by
 their digest; only the one with the smallest doc_id goes through the levels, and
 of the others every window repeats.
 
-Counting is a grouped minimum and maximum, combined before the shuffle, and the
-way back is an inner join on the window, which Spark can split where a passage
-is in very many documents.  Only candidates' texts are shuffled on.  Windows of
-the last level are compared by two 64-bit hashes.
+Counting is a grouped minimum and maximum, combined before the shuffle, and
+written; the way back is an inner join on the window, which Spark can split where
+a passage is in very many documents.  Only candidates' texts are shuffled on.
+Windows of all levels but the first are compared by two 64-bit hashes.
 
 Null and empty texts have no words.  Rows without doc_id neither lose words nor
 take any.  Rows with the same doc_id are judged one by one and don't take words
-from each other.
+from each other.  Only doc_id and text are read, so that other columns may have
+any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from . import kernels as K
 from .common import Written, by_slices, list_column
 
 LENGTH = 50
-FIRST = 25
+FIRST = 7
 _SECOND = 0x5851F42D4C957F2D
 
 
@@ -89,41 +94,47 @@ def signatures(docs: DataFrame, first: int, second: int) -> DataFrame:
     return by_slices(docs, "text", work, f"doc_id {kind}, row_key bigint, n_words bigint, digest binary, grams array<bigint>")
 
 
-def windows_around(docs: DataFrame, first: int, second: int) -> DataFrame:
-    """Of each row the windows of ``second`` words that hold one of its ``grams``."""
+def _extended(rows: pa.RecordBatch, hashes: np.ndarray, ranges: np.ndarray, at: np.ndarray, length: int, longer: int, every: bool) -> pa.RecordBatch:
+    """The windows of ``longer`` words that start or end with a window of ``length`` words at one of the places, or ``every`` one that holds it."""
+    n, back = len(hashes), longer - length
+    mask = np.zeros(n, bool)
+    if every:
+        edges = np.bincount(np.maximum(at - back, 0), minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+        mask = np.cumsum(edges[:n]) > 0
+    else:
+        mask[at] = True
+        mask[at[at >= back] - back] = True
+    return _windows(rows, hashes, ranges, mask, longer)
+
+
+def windows_around(docs: DataFrame, first: int, second: int, every: bool) -> DataFrame:
+    """Of each row the windows of ``second`` words that extend one of its ``grams`` of ``first`` words."""
 
     def work(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
         starts, ends, ranges = K.words(data, off)
         hashes = K.word_hashes(data, starts, ends)
-        n = len(hashes)
-        mask = np.zeros(n, bool)
         lists = rows.column("grams")
         wanted = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         of = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
         grams = K.window_hashes(hashes, first)
-        if len(grams) and len(wanted):
-            own = K.owners(ranges)[: len(grams)].astype(np.uint64)
-            stamp = np.uint64(0x9E3779B97F4A7C15)
-            hit = np.flatnonzero(np.isin(grams ^ K.mix(own * stamp), wanted ^ K.mix(of.astype(np.uint64) * stamp)))
-            edges = np.bincount(np.maximum(hit - (second - first), 0), minlength=n + 1) - np.bincount(hit + 1, minlength=n + 1)
-            mask = np.cumsum(edges[:n]) > 0
-        return _windows(rows, hashes, ranges, mask, second)
+        own = K.owners(ranges)[: len(grams)].astype(np.uint64)
+        stamp = np.uint64(0x9E3779B97F4A7C15)
+        hit = np.flatnonzero(np.isin(grams ^ K.mix(own * stamp), wanted ^ K.mix(of.astype(np.uint64) * stamp)))
+        return _extended(rows, hashes, ranges, hit, first, second, every)
 
     return by_slices(docs, "text", work, _window_schema(docs))
 
 
-def windows_doubled(docs: DataFrame, length: int, second: int) -> DataFrame:
-    """Of each row the windows of ``second`` words whose first and last ``length`` words repeat."""
+def windows_doubled(docs: DataFrame, length: int, second: int, every: bool) -> DataFrame:
+    """Of each row the windows of ``second`` words that extend one of ``length`` words at its ``places``."""
 
     def work(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
         starts, ends, ranges = K.words(data, off)
         hashes = K.word_hashes(data, starts, ends)
         lists = rows.column("places")
         of = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-        known = np.zeros(len(hashes) + second, bool)
-        known[lists.flatten().to_numpy(zero_copy_only=False) + ranges[of]] = True
-        step = second - length
-        return _windows(rows, hashes, ranges, known[: len(hashes)] & known[step : step + len(hashes)], second)
+        at = np.unique(lists.flatten().to_numpy(zero_copy_only=False) + ranges[of])
+        return _extended(rows, hashes, ranges, at, length, second, every)
 
     return by_slices(docs, "text", work, _window_schema(docs))
 
@@ -152,25 +163,28 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     plan = levels(length)
     first, second = (plan[0], plan[1]) if len(plan) > 1 else (plan[0], plan[0])
     source = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("text"))
-    known = tables.put(signatures(source, first, second), "signatures")
+    known = tables.put(signatures(source, first, length), "signatures")
 
     leaders = known.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     grams = known.join(leaders, ["doc_id", "digest"], "left_semi").select("doc_id", "row_key", F.explode(F.array_distinct("grams")).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("gram")
+    shared = tables.put(grams.groupBy("gram").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("gram"), "shared")
     wanted = grams.join(shared, "gram").groupBy("doc_id", "row_key").agg(F.collect_set("gram").alias("grams"))
     texts = source.where("doc_id IS NOT NULL").join(wanted, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"])
-    now = tables.put(windows_around(texts, first, second), f"windows-{second}")
+    now = tables.put(windows_around(texts, first, second, second == length), f"windows-{second}")
     for k, size in enumerate(plan[1:] or plan, 1):
-        rows = now.select("doc_id", "row_key", F.posexplode("windows").alias("k", "w"), "places").select("doc_id", "row_key", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.element_at("places", F.col("k") + 1).alias("place"))
-        counted = rows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
         last = size == length
+        rows = now.select("doc_id", "row_key", F.posexplode("windows").alias("k", "w"), "places").select("doc_id", "row_key", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.element_at("places", F.col("k") + 1).alias("place"))
+        counted = tables.put(rows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "counted")
         again = rows.join(counted, ["a", "b"])
         again = again.where("doc_id > least") if last else again
         places = again.groupBy("doc_id", "row_key").agg(F.collect_list("place").alias("places"))
-        now = now.select("doc_id", "row_key", "text").join(places, ["doc_id", "row_key"])
-        if not last:
-            now = tables.put(windows_doubled(now, size, plan[k + 1]), f"windows-{plan[k + 1]}")
-    return known, now
+        found = now.select("doc_id", "row_key", "text").join(places, ["doc_id", "row_key"])
+        if last:
+            return known, found
+        longer = tables.put(windows_doubled(found, size, plan[k + 1], plan[k + 1] == length), f"windows-{plan[k + 1]}")
+        tables.drop(now)
+        now = longer
+    raise AssertionError("the last level is ``length``")
 
 
 def _covered(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, length: int):
