@@ -22,9 +22,15 @@ on.  Documents of a band's bucket are linked without listing its pairs:
 So every pair that shares a band is compared on full shingle sets or is known to
 be connected already, and no link between components is lost.
 
+Sets so small that one shingle more or less ends the link are linked with equal
+ones only, and so stay out of the buckets.
+
 Null and empty texts have an empty set and are linked with nothing, as are rows
 without doc_id.  A text with fewer words than a shingle has its whole sequence
-as its only shingle.  Rows with the same doc_id count as one document.
+as its only shingle.  Rows with the same doc_id count as one document, for which
+the row with the most shingles stands (of several the one with the greatest
+hashes), so that reruns agree.  Only doc_id and text are read, so that other
+columns may have any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ from .components import components
 
 MISS = 1e-9
 SMALL_BUCKET = 16
-BLOCK_SHINGLES = 150_000
+BLOCK_SHINGLES, BLOCK_DOCS = 150_000, 2000
 _STAMP = 0x2545F4914F6CDD1D
 
 
@@ -102,7 +108,7 @@ def sketches(values: np.ndarray, ranges: np.ndarray, bins: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, set sums a and b, band keys) of each row."""
+    """(doc_id, row_key, n, set sums a and b, band keys) of each row of ``docs(doc_id, text, row_key)``."""
     rows_a_band, bands = plan(percent)
 
     def work(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
@@ -118,10 +124,10 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
         for r in range(rows_a_band):
             key = K.mix(key ^ sketch[:, :, r])
         keys = list_column(key.reshape(-1).view(np.int64), np.arange(len(n) + 1) * bands)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), keys], names=["doc_id", "n", "a", "b", "bands"])
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row_key"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), keys], names=["doc_id", "row_key", "n", "a", "b", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", work, f"doc_id {kind}, n bigint, a bigint, b bigint, bands array<bigint>")
+    return by_slices(docs, "text", work, f"doc_id {kind}, row_key bigint, n bigint, a bigint, b bigint, bands array<bigint>")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -207,15 +213,19 @@ def block_links(sides: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs(doc_id, text)``."""
     tables = Written(docs.sparkSession)
-    known = tables.put(signatures(docs, size, percent), "signatures")
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row_key", F.xxhash64("text"))
+    known = tables.put(signatures(source, size, percent), "signatures")
     identity = ["a", "b", "n"]
-    classes = known.where("n > 0 AND doc_id IS NOT NULL").groupBy(*identity).agg(F.min("doc_id").alias("doc"))
-    leaders = known.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", *identity], "left_semi").dropDuplicates(["doc_id"])
+    stands = F.max(F.struct("n", "a", "b", "row_key")).alias("one")
+    own = tables.put(known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(stands).select("doc_id", "one.*"), "own")
+    classes = own.where("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("doc"))
+    able = own.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").where(100 * F.col("n") >= percent * (F.col("n") + 1))
+    leaders = known.join(able.select("doc_id", "row_key"), ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id"])  # these are equal texts
     rows = leaders.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), "n")
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     buckets = tables.put(rows.join(many.where("members > 1"), "key").select("key", "doc", "n", "members"), "buckets")
-    inside = buckets.select(F.col("doc").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(inside, "doc_id").dropDuplicates(["doc_id"])
+    inside = buckets.select(F.col("doc").alias("doc_id")).distinct().join(own.select("doc_id", "row_key"), "doc_id")
+    texts = source.join(inside, ["doc_id", "row_key"]).dropDuplicates(["doc_id"])
     sets = tables.put(sets_of(texts, size), "sets")
 
     links: DataFrame | None = None
@@ -243,7 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             member = small.select("key", F.col("doc").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"))
             pairs = probe.join(member, "key").where("xc <> yc AND (yc = main OR x < y)").where(100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")).select("x", "y").distinct()
             one = verified(pairs, sets, percent)
-            large = rest.where(F.col("count") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"))
+            large = rest.where(F.col("count") > SMALL_BUCKET).withColumn("blocks", F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("count") / BLOCK_DOCS)).cast("int"))
             block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
             every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
             probes = large.where("comp <> main").select("key", block.alias("ub"), every.alias("mb"), F.lit(True).alias("probe"), "doc", "comp")
@@ -253,9 +263,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             found = tables.put(one.unionByName(two), "links")
         links = found if links is None else links.unionByName(found)
         comp = tables.put(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), tables), "components")
-    membership = known.join(classes, identity, "left").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
+    each = known.select("doc_id", F.col("n").alias("n_row")).join(own.drop("row_key"), "doc_id", "left")
+    membership = each.join(classes, identity, "left").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
     component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc", "doc_id"))
-    return membership.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return membership.select("doc_id", F.col("n_row").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def brute_force(docs: list[tuple], size: int, percent: int) -> list[tuple]:
