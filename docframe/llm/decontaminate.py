@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import by_slices, list_column
+from .common import by_slices, list_column, quoted
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -259,11 +259,9 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_by
 
     ``spans`` holds word numbers, end exclusive, merged; ``byte_spans`` the bytes
     from the first to the last hit word of each; ``items`` the item ids as strings.
+    Columns of ``docs`` by these names are replaced.
     """
     span = "array<struct<start:int,end:int>>"
-    for name in ("n_words", "spans", "byte_spans", "items"):
-        if name in docs.columns:
-            raise ValueError(f"column {name} is taken by the result")
     nothing = F.array().cast(span)
     out = docs.withColumns({"text": F.col("text").cast("string"), "n_words": F.lit(0).cast("bigint"), "spans": nothing, "byte_spans": nothing, "items": F.array().cast("array<string>")})
     schema = out.schema
@@ -319,8 +317,10 @@ def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
     ``n_chars``, if present, follows the text.
     """
-    columns = docs.columns
-    found = find_spans(docs, items, **options)
+    text_type = docs.schema["text"].dataType
+    # Columns besides the text travel in one, so that none of them can clash with the result's.
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    found = find_spans(packed, items, **options)
 
     def work(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
         texts, spans = rows.column("text"), rows.column("byte_spans")
@@ -334,14 +334,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
                     at = cut["end"]
                 text = b"".join([*kept, raw[at:]]).decode()
             out.append(text)
-        new = {"text": pa.array(out, rows.schema.field("text").type)}
-        if "n_chars" in columns:
-            cut = np.array([len(x) > 0 for x in spans])
-            new["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(out, cut, rows.column("n_chars").to_pylist(), strict=True)], rows.schema.field("n_chars").type)
-        return pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in columns], names=columns)
-
-    schema = docs.withColumn("text", F.col("text").cast("string")).schema
-    return by_slices(found, "text", work, schema)
+        cut = pa.array([len(x) > 0 for x in spans], pa.bool_())
+        return pa.RecordBatch.from_arrays([rows.column("row"), pa.array(out, pa.string()), cut], names=["row", "text", "cut"])
+
+    done = by_slices(found, "text", work, packed.schema.add("cut", "boolean"))
+    new = {"text": F.col("text").cast(text_type)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("cut"), F.char_length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

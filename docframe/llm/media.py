@@ -15,7 +15,12 @@ samples in blocks with their sample offsets and the bytes to seek to.
 
 Samples are the payload's bytes in offset binary (as 8-bit PCM commonly is), so
 that the PCM read back is the payload.  Null and empty texts are one frame of
-blanks.  Equal texts give equal streams.  Everything happens within a row.
+blanks.  Equal texts give equal streams.  Everything happens within a row, a bounded
+number of frames at a time, so that a very long text needs a few times its own
+bytes.  ``encode`` reads doc_id and text only; ``decode`` carries other columns
+along and replaces those named as its own.  A stream that is null or can't be
+decoded gives null samples and says why in ``error``; the others of its batch are
+decoded.  Repeated rows are stored one by one; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import by_slices, list_column
@@ -36,6 +42,8 @@ SEEK_FRAMES = 64
 RATE = 8000
 ORDER, PRECISION, SHIFT = 4, 8, 6
 SLICE = 1 << 20
+#: Frames that are coded at a time.
+CHUNK = 4096
 #: Coefficients of the fixed predictors, as the format defines them.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -163,7 +171,9 @@ def streams(payload: np.ndarray, off: np.ndarray) -> list[bytes]:
     """A FLAC stream for each payload."""
     counts = np.diff(off) // BLOCK
     number = K.ranges_of(np.zeros(len(counts), np.int64), counts)
-    data, at = encode_frames(payload, number)
+    parts = [encode_frames(payload[a * BLOCK : (a + CHUNK) * BLOCK], number[a : a + CHUNK]) for a in range(0, len(number), CHUNK)]
+    data = np.concatenate([np.zeros(0, np.uint8), *(p for p, _ in parts)])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(a) for _, a in parts)]))])
     first = np.concatenate([[0], np.cumsum(counts)])
     signed = payload ^ 0x80
     out = []
@@ -376,8 +386,13 @@ def decode_streams(media: list[bytes]) -> tuple[list[bytes], list[list[tuple[int
     if (crc16(data, sync, stop - sync - 2) != (padded[stop - 2] << 8 | padded[stop - 1])).any():
         keep = follow(np.arange(len(media)))  # a header within a frame's data took a frame's place
         sync, stream, block, size = (v[keep] for v in (sync, stream, block, size))
-    x = decode_frames(Bits(data), (sync + size + 1) * 8, block)
-    flat = (x.astype(np.int8).view(np.uint8) ^ 0x80).reshape(-1) if (block == x.shape[1]).all() else np.concatenate([(r[:b].astype(np.int8).view(np.uint8) ^ 0x80) for r, b in zip(x, block.tolist(), strict=True)])
+    stop = np.concatenate([sync[1:], [len(data)]])
+    pieces = [np.zeros(0, np.uint8)]
+    for a in range(0, len(sync), CHUNK):
+        mine, begin = slice(a, a + CHUNK), sync[a]
+        x = decode_frames(Bits(data[begin : stop[mine][-1]]), (sync[mine] + size[mine] + 1 - begin) * 8, block[mine])
+        pieces.append((x.astype(np.int8).view(np.uint8) ^ 0x80)[np.arange(x.shape[1]) < block[mine][:, None]])
+    flat = np.concatenate(pieces)
     at = np.concatenate([[0], np.cumsum(np.bincount(stream, weights=block, minlength=len(media)))]).astype(np.int64)
     pcm = []
     for i, info in enumerate(infos):
@@ -398,23 +413,53 @@ def encode(docs: DataFrame) -> DataFrame:
     return by_slices(docs.select("doc_id", F.col("text").cast("string").alias("text")), "text", work, f"doc_id {kind}, n_bytes bigint, media binary", SLICE)
 
 
+def _each(media: list[bytes | None]) -> tuple[list[bytes | None], list[list[tuple[int, int]]], list[str | None]]:
+    """Samples, seek points and errors of streams of which some may be null or broken."""
+    try:
+        if all(m is not None for m in media):
+            pcm, seeks = decode_streams(media)
+            return pcm, seeks, [None] * len(media)
+    except _BROKEN:
+        pass
+    out: tuple[list, list, list] = ([], [], [])
+    for m in media:
+        try:
+            if m is None:
+                raise ValueError("no stream")
+            (pcm,), (seek,) = decode_streams([m])
+            one = (pcm, seek, None)
+        except _BROKEN as e:
+            one = (None, [], f"{type(e).__name__}: {e}")
+        for values, value in zip(out, one, strict=True):
+            values.append(value)
+    return out
+
+
+#: What a stream that isn't one, or is cut short, makes the decoder raise.
+_BROKEN = (ValueError, IndexError, TypeError, OverflowError, ZeroDivisionError, struct.error)
+
+
 def decode(media: DataFrame) -> DataFrame:
-    """The rows with ``pcm``, the seek points and a feature string of the samples."""
+    """The rows with ``pcm``, the seek points, a feature string of the samples, and ``error`` where there are none."""
 
     def work(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
-        pcm, seeks = decode_streams(rows.column("media").to_pylist())
+        pcm, seeks, errors = _each(rows.column("media").to_pylist())
         points = [p for s in seeks for p in s]
         seek = pa.StructArray.from_arrays([pa.array([p[i] for p in points], pa.int64()) for i in (0, 1)], ["sample", "offset"])
         lists = list_column(seek, np.concatenate([[0], np.cumsum([len(s) for s in seeks])]).astype(np.int64))
-        features = []
+        features: list[str | None] = []
         for p in pcm:
-            s = np.frombuffer(p, np.uint8).astype(np.int64) - 128
+            if not p:
+                features.append(None if p is None else "samples=0")
+                continue
+            s = np.frombuffer(p, np.uint8).astype(np.int16) - 128
             turns = int(((s[1:] > s.mean()) != (s[:-1] > s.mean())).sum())
-            features.append(f"samples={len(s)};min={s.min()};max={s.max()};power={int((s * s).sum()) // len(s)};turns={turns}")
-        new = [pa.array(pcm, pa.binary()), lists, pa.array(features, pa.string())]
-        return pa.RecordBatch.from_arrays([*rows.columns, *new], names=[*rows.schema.names, "pcm", "seek", "feature"])
+            features.append(f"samples={len(s)};min={s.min()};max={s.max()};power={int((s.astype(np.int64) ** 2).sum()) // len(s)};turns={turns}")
+        new = [pa.array(pcm, pa.binary()), lists, pa.array(features, pa.string()), pa.array(errors, pa.string())]
+        return pa.RecordBatch.from_arrays([*rows.columns, *new], names=[*rows.schema.names, "pcm", "seek", "feature", "error"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema) + ", pcm binary, seek array<struct<sample:bigint,offset:bigint>>, feature string"
+    media = media.drop("pcm", "seek", "feature", "error")
+    schema = T.StructType([*media.schema.fields, *T._parse_datatype_string("pcm binary, seek array<struct<sample:bigint,offset:bigint>>, feature string, error string").fields])
     return by_slices(media, "media", work, schema, SLICE)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, line_dedup, lm_score, media, minhash, mixing, quality, secrets, substring_dedup
 from .common import table
@@ -30,7 +31,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("positions")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    first, last = (F.round(f("positions"), 6) for f in (lambda c: F.get(c, F.lit(0)), F.array_max))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("bigint").alias("n_passes"), first.alias("first_position"), last.alias("last_position"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +91,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
-OP5_SQL = r"""
+#: When a schedule's integral reaches a share of the whole, by the roots of its linear pieces' integrals.
+_DUE = """CASE turn % 3
+    WHEN 0 THEN CASE WHEN {0} * 1.05e0 <= 0.75e0 THEN (sqrt(2.25e0 - {0} * 1.05e0 / 0.6e0) - 1.5e0) / (-0.5e0 / 0.6e0)
+      WHEN {0} <= 1 THEN 0.6e0 + (sqrt(greatest(1e0 - 2.5e0 * ({0} * 1.05e0 - 0.75e0), 0e0)) - 1e0) / -1.25e0 ELSE 1e0 END
+    WHEN 1 THEN least({0}, 1e0)
+    ELSE CASE WHEN {0} * 1.05e0 <= 0.3e0 THEN (sqrt(0.25e0 + 2.5e0 * {0} * 1.05e0) - 0.5e0) / 1.25e0
+      WHEN {0} <= 1 THEN 0.4e0 + (sqrt(1e0 + ({0} * 1.05e0 - 0.3e0) / 0.6e0) - 1e0) / (0.5e0 / 0.6e0) ELSE 1e0 END END"""
+
+OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM s
@@ -99,13 +110,19 @@ WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
   FROM c
 ), l AS (SELECT *, CAST(words - capped AS DOUBLE) / CAST(rest AS DOUBLE) AS level FROM o
 ), t AS (
-  SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT arg_min(level, (cap / weight, turn)) FROM l WHERE level * weight <= cap) * weight) AS target FROM l
+  SELECT source, source_size, turn, least(CAST(cap AS DOUBLE), (SELECT arg_min(level, (cap / weight, turn)) FROM l WHERE level * weight <= cap) * weight) AS target FROM l
 ), placed AS (
-  SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS budget,
+  SELECT doc_id, size, source_size, turn, target, CAST(round(target) AS BIGINT) AS budget,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), p AS (SELECT *, coalesce(budget // nullif(source_size, 0), 0) AS passes FROM placed)
-SELECT doc_id, size, source_size, target, CAST(size * passes + least(greatest(budget - passes * source_size - before, 0), size) AS BIGINT) AS taken FROM p
+), p AS (SELECT *, coalesce(budget // nullif(source_size, 0), 0) AS passes FROM placed
+), q AS (SELECT *, least(greatest(budget - passes * source_size - before, 0), size) AS part FROM p
+), n AS (SELECT *, CASE WHEN size > 0 THEN passes + CASE WHEN part > 0 THEN 1 ELSE 0 END ELSE 0 END AS rounds FROM q
+), w AS (SELECT *, CAST(before AS DOUBLE) / target AS due, CAST(before + (rounds - 1) * source_size AS DOUBLE) / target AS due_last FROM n)
+SELECT doc_id, size, source_size, target, CAST(size * passes + part AS BIGINT) AS taken, CAST(rounds AS BIGINT) AS n_passes,
+  CASE WHEN rounds > 0 THEN round({_DUE.format("due")}, 6) END AS first_position,
+  CASE WHEN rounds > 0 THEN round({_DUE.format("due_last")}, 6) END AS last_position
+FROM w
 """
 
 OP8_SQL = rf"""

@@ -13,6 +13,8 @@ whole in one task.  Runs are found with vectorised byte classes; the assignment
 pattern runs only on texts that RE2 finds to hold a keyword with a separator.
 
 Null and empty texts have no spans.  Spans are in code points, end exclusive.
+Repeated rows are scanned one by one; only doc_id and text are read, so that other
+columns may have any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -110,6 +112,7 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
     r = random.Random(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
     sets = [letters.upper() + letters + "0123456789+/", letters + "0123456789", letters.upper() + "0123456789", "0123456789abcdef", letters.upper() + letters + "0123456789-_"]
+    rows = ["qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertyuiopasdfghjklzxcvbnm", "1234567890", letters, letters.upper(), "QWERTYUIOP", "ASDFGHJKL", "ZXCVBNM"]
     syllables = sorted({w[i : i + 3] for w in _WORDS for i in range(len(w) - 2)})
     out = []
     for i in range(n):
@@ -128,6 +131,8 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
             text = "/".join(parts)
         elif style == 5:
             text = "".join(r.choice("0123456789") for _ in range(r.randint(16, 20)))  # times, counters, order numbers
+        elif i % 70 == 6:
+            text = r.choice(rows)[r.randint(0, 3) :] + r.choice(rows)  # rows of keys, the alphabet
         else:
             text = "".join(r.choice(syllables) for _ in range(r.randint(5, 9)))
         out.append((text, 0))
