@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe.sources.scratch import shared_dir
+
 from . import kernels as K
 
 
@@ -18,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    now = context._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    import tempfile
-
-    folder = "file://" + tempfile.mkdtemp(prefix="docframe-")
-    context.setCheckpointDir(folder)
-    return folder
-
-
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have, whatever their case."""
     known = {c.lower() for c in df.columns}
@@ -51,6 +37,7 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Has Spark remove the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -95,7 +82,12 @@ def by_slices(df: DataFrame, text: str, work: Callable[..., pa.RecordBatch | Non
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow whose workers find this package even where it is not installed."""
+    """mapInArrow whose workers find this package even where it is not installed.
+
+    Batches are of ``BATCH_ROWS`` rows at most from here on in the session, as rows hold whole texts.
+    """
+    if int(df.sparkSession.conf.get(_BATCH)) > BATCH_ROWS:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     here = str(Path(__file__).resolve().parents[2])
     environment = df.sparkSession.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(":")

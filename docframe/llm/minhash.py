@@ -48,7 +48,7 @@ from .components import components
 
 MISS = 1e-9
 SMALL_BUCKET = 16
-BLOCK_SHINGLES, BLOCK_DOCS = 150_000, 2000
+BLOCK_SHINGLES, BLOCK_DOCS = 150_000, 1000
 _STAMP = 0x2545F4914F6CDD1D
 
 
