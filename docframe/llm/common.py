@@ -37,7 +37,7 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Has Spark remove the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -84,10 +84,10 @@ def by_slices(df: DataFrame, text: str, work: Callable[..., pa.RecordBatch | Non
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow whose workers find this package even where it is not installed.
 
-    Batches are of ``BATCH_ROWS`` rows at most from here on in the session, as rows hold whole texts.
+    Batches are of about ``BATCH_BYTES`` at most from here on in the session, as rows hold whole texts.
     """
-    if int(df.sparkSession.conf.get(_BATCH)) > BATCH_ROWS:
-        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    if int(df.sparkSession.conf.get(_BATCH).removesuffix("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(_BATCH, f"{BATCH_BYTES}b")
     here = str(Path(__file__).resolve().parents[2])
     environment = df.sparkSession.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(":")
