@@ -36,7 +36,7 @@ from .common import Written, by_slices
 from .mixing import word_count
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-CHUNK_BYTES, PARTITION_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, PARTITION_BYTES = 4 << 20, 16 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
