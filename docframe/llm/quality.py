@@ -123,7 +123,7 @@ def _distinct(facts: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np
 class Facts:
     """The distinct facts of each document, as bytes of 32-bit integers; never joined but for a block of documents."""
 
-    of: list[bytes]
+    of: list[memoryview]
 
     @property
     def n(self) -> int:
@@ -301,10 +301,18 @@ def _gather(docs: DataFrame, marks: DataFrame) -> Sample:
         return pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.string()), *[rows.column(c).cast(pa.int64()) for c in ("quality", "toxic", "told")], pa.array(sketches(data, off).view(np.int64)), *lists], names=["doc_id", "quality", "toxic", "told", "sketch", *VIEWS])
 
     made = by_slices(rows, "text", work, "doc_id string, quality bigint, toxic bigint, told bigint, sketch bigint, text binary, meta binary", SLICE)
-    got = sorted((tuple(r) for r in made.toLocalIterator()), key=lambda r: r[0])  # a partition at a time
+    # A partition at a time, into one buffer for each view, which is given back whole.
+    buffers, got = [bytearray() for _ in VIEWS], []
+    for r in made.toLocalIterator():
+        at = [len(x) for x in buffers]
+        for i, buffer in enumerate(buffers):
+            buffer += r[5 + i]
+        got.append((*tuple(r)[:5], [(a, len(x)) for a, x in zip(at, buffers, strict=True)]))
+    got.sort(key=lambda r: r[0])
     number = lambda i, other: np.array([other if r[i] is None else r[i] for r in got], np.int64)
     label = {"low": 1 - number(1, 2), "toxic": number(2, -1)}
-    return Sample([r[0] for r in got], number(4, 0), label, number(3, 0), {v: Facts([bytes(r[5 + i]) for r in got]) for i, v in enumerate(VIEWS)})
+    whole = [memoryview(x) for x in buffers]
+    return Sample([r[0] for r in got], number(4, 0), label, number(3, 0), {v: Facts([whole[i][slice(*r[5][i])] for r in got]) for i, v in enumerate(VIEWS)})
 
 
 def _bit(target: str, view: str, value: int) -> int:
