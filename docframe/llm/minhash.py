@@ -228,7 +228,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = source.join(inside, ["doc_id", "row_key"]).dropDuplicates(["doc_id"])
     sets = tables.put(sets_of(texts, size), "sets")
 
-    links: DataFrame | None = None
     comp: DataFrame | None = None
     for turn in range(3):
         known_as = buckets if comp is None else buckets.join(comp.withColumnRenamed("node", "doc"), "doc", "left")
@@ -261,8 +260,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             sides = probes.unionByName(members).join(sets, "doc")
             two = block_links(sides, percent)
             found = tables.put(one.unionByName(two), "links")
-        links = found if links is None else links.unionByName(found)
-        comp = tables.put(components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), tables), "components")
+        links = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+        if comp is not None:  # the stars that are known stand for the links behind them
+            links = links.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        comp = tables.put(components(links, tables), "components")
     each = known.select("doc_id", F.col("n").alias("n_row")).join(own.drop("row_key"), "doc_id", "left")
     membership = each.join(classes, identity, "left").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
     component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc", "doc_id"))

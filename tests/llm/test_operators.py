@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docframe.llm import common, decontaminate, kernels, license_scan, line_dedup, lm_score, media, minhash, mixing, quality, secrets, substring_dedup
+from docframe.llm import common, components, decontaminate, kernels, license_scan, line_dedup, lm_score, media, minhash, mixing, quality, secrets, substring_dedup
 
 WORDS = ["alpha", "Beta", "gamma", "délta", "eps!", "zeta"]
 
@@ -35,6 +35,18 @@ def test_minhash(docs):
     assert rows(minhash.near_duplicates(docs, 3, 85)) == [(d, n, c, k) for d, n, c, k in sorted(minhash.brute_force(awkward(), 3, 85))]
 
 
+@pytest.mark.parametrize("edges", [[], [(1, 1)], [(5, 1), (7, 1), (1, 5), (9, 2)], [(i, i + 1) for i in range(40)], [(3, 1), (3, 2), (8, 7), (7, 6), (9, 3)]])
+def test_components(spark, edges):
+    reach = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in reach:
+        for a, b in edges:
+            if a != b:
+                reach[a] = reach[b] = min(reach[a], reach[b])
+    found = components.components(spark.createDataFrame(edges, "a long, b long"), common.Written(spark))
+    assert rows(found) == sorted(reach.items())
+    assert components.settled(found.where("node <> component").toDF("a", "b"))
+
+
 def test_minhash_of_tiny_sets_and_repeated_ids(spark):
     """Thousands of texts that share one of two shingles are linked with equal ones only; rows of one id agree between runs."""
     made = [(i, f"alpha beta gamma n{i // 2}") for i in range(4000)]
