@@ -10,9 +10,30 @@ from .compare import col
 now = F.current_timestamp
 
 
+# The names of the parts and their abbreviations.
+PARTS = {
+    "year": ("yy", "yyyy"), "quarter": ("qq", "q"), "month": ("mm", "m"), "dayofyear": ("dy", "y"), "day": ("dd", "d"),
+    "week": ("wk", "ww"), "weekday": ("dw",), "hour": ("hh",), "minute": ("mi", "n"), "second": ("ss", "s"),
+    "millisecond": ("ms",), "microsecond": ("mcs",), "nanosecond": ("ns",),
+}
+
+
+def part_name(part: str) -> str:
+    """The full name of a part, in any case or abbreviated; an error if there is none."""
+    name = part.strip().lower()
+    for full, short in PARTS.items():
+        if name == full or name in short:
+            return full
+    raise ValueError(f"unknown part of a date: {part!r}")
+
+
 def dateadd(part: str, n, ts) -> Column:
-    """Months clamp to the month's end."""
-    return F.timestamp_add(part.upper(), col(n), col(ts))
+    """Months clamp to the month's end; nanoseconds are rounded down to microseconds."""
+    part = part_name(part)
+    if part == "nanosecond":
+        n = col(n).cast("bigint")
+        return F.timestamp_add("MICROSECOND", F.call_function("div", n - F.pmod(n, F.lit(1000)), F.lit(1000)), col(ts))
+    return F.timestamp_add("DAY" if part in ("dayofyear", "weekday") else part.upper(), col(n), col(ts))
 
 
 def _days(ts) -> Column:
@@ -22,7 +43,7 @@ def _days(ts) -> Column:
 def datediff(part: str, a, b) -> Column:
     """How many boundaries of the part lie between; weeks begin on Sunday."""
     a, b = col(a), col(b)
-    part = part.lower()
+    part = part_name(part)
     if part == "year":
         return (F.year(b) - F.year(a)).cast("bigint")
     if part in ("quarter", "month"):
@@ -34,13 +55,16 @@ def datediff(part: str, a, b) -> Column:
     if part == "week":
         week = lambda t: F.floor((_days(t) + 4) / 7)  # noqa: E731  1970-01-01 was a Thursday
         return (week(b) - week(a)).cast("bigint")
+    if part in ("microsecond", "nanosecond"):
+        micros = F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))
+        return micros if part == "microsecond" else micros * 1000
     unit = {"hour": 3_600_000, "minute": 60_000, "second": 1000, "millisecond": 1}[part]
     ticks = lambda t: F.floor(F.unix_millis(t.cast("timestamp")) / unit)
     return (ticks(b) - ticks(a)).cast("bigint")
 
 
 def datepart(part: str, ts) -> Column:
-    ts, part = col(ts), part.lower()
+    ts, part = col(ts), part_name(part)
     plain = {"year": F.year, "quarter": F.quarter, "month": F.month, "dayofyear": F.dayofyear, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "weekday": F.dayofweek}
     if part in plain:
         return plain[part](ts).cast("bigint")
@@ -48,13 +72,14 @@ def datepart(part: str, ts) -> Column:
         return (F.floor((F.dayofyear(ts) - 1 + F.dayofweek(F.trunc(ts, "year")) - 1) / 7) + 1).cast("bigint")
     if part == "millisecond":
         return F.pmod(F.unix_millis(ts.cast("timestamp")), F.lit(1000))
-    raise ValueError(part)
+    micros = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000))
+    return micros if part == "microsecond" else micros * 1000
 
 
 def datename(part: str, ts) -> Column:
-    if part.lower() == "month":
+    if part_name(part) == "month":
         return F.date_format(col(ts), "MMMM")
-    if part.lower() == "weekday":
+    if part_name(part) == "weekday":
         return F.date_format(col(ts), "EEEE")
     return datepart(part, ts).cast("string")
 

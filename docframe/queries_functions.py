@@ -75,13 +75,13 @@ _D2 = "(ts + INTERVAL 40 DAY + INTERVAL 5 HOUR)"
 family(
     "dt_datediff", "events", "event_id",
     **{p: ((lambda p=p: M.datediff(p, "ts", F.timestamp_add("HOUR", L(965), F.col("ts")))), s) for p, s in {
-        "year": f"date_diff('year', ts, {_D2})", "quarter": f"date_diff('quarter', ts, {_D2})", "month": f"date_diff('month', ts, {_D2})", "day": f"date_diff('day', ts, {_D2})", "hour": f"date_diff('hour', ts, {_D2})", "minute": f"date_diff('minute', ts, {_D2})", "second": f"date_diff('second', ts, {_D2})", "week": f"{_SUN.format(_D2)} - {_SUN.format('ts')}",
+        "year": f"date_diff('year', ts, {_D2})", "quarter": f"date_diff('quarter', ts, {_D2})", "month": f"date_diff('month', ts, {_D2})", "day": f"date_diff('day', ts, {_D2})", "hour": f"date_diff('hour', ts, {_D2})", "minute": f"date_diff('minute', ts, {_D2})", "second": f"date_diff('second', ts, {_D2})", "mcs": f"date_diff('microsecond', ts, {_D2})", "ns": f"date_diff('microsecond', ts, {_D2}) * 1000", "week": f"{_SUN.format(_D2)} - {_SUN.format('ts')}",
     }.items()},
 )
 family(
     "dt_datepart", "events", "event_id",
     **{p: ((lambda p=p: M.datepart(p, "ts")), s) for p, s in {
-        "year": "year(ts)", "quarter": "quarter(ts)", "month": "month(ts)", "dayofyear": "dayofyear(ts)", "day": "day(ts)", "hour": "hour(ts)", "minute": "minute(ts)", "second": "second(ts)", "weekday": "dayofweek(ts) + 1", "week": "CAST(floor((dayofyear(ts) - 1 + dayofweek(date_trunc('year', ts))) / 7) + 1 AS BIGINT)", "millisecond": "millisecond(ts) % 1000",
+        "year": "year(ts)", "quarter": "quarter(ts)", "month": "month(ts)", "dayofyear": "dayofyear(ts)", "day": "day(ts)", "hour": "hour(ts)", "minute": "minute(ts)", "second": "second(ts)", "weekday": "dayofweek(ts) + 1", "week": "CAST(floor((dayofyear(ts) - 1 + dayofweek(date_trunc('year', ts))) / 7) + 1 AS BIGINT)", "millisecond": "millisecond(ts) % 1000", "mcs": "microsecond(ts) % 1000000", "ns": "microsecond(ts) % 1000000 * 1000", "yy": "year(ts)", "dy": "dayofyear(ts)",
     }.items()},
 )
 family(

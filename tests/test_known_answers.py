@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import compare as C
 from docframe.functions import document as D
+from docframe.functions import moment as M
 from docframe.functions import text as S
 from docframe.operators import grouping as G
 from docframe.operators import relational as R
@@ -177,3 +178,15 @@ def test_checksum_is_64_bits_of_all_arguments(spark):
 
     row = spark.range(1).select(D.checksum(F.lit("é'x"), F.lit(7), F.lit(None).cast("string")), D.checksum(F.lit(True)), D.checksum(F.lit(""))).first()
     assert tuple(row) == (fnv("'é''x'", "7", "NULL"), fnv("TRUE"), fnv("''"))
+
+
+def test_parts_of_dates_by_short_names(spark):
+    ts = F.lit("2024-01-31 10:11:12.123456").cast("timestamp_ntz")
+    later = M.dateadd("ns", F.lit(9_007_199_254_740_993_999), ts)
+    row = spark.range(1).select(
+        M.dateadd("mm", F.lit(1), ts).cast("string"), M.dateadd("NS", F.lit(-1500), ts).cast("string"), M.dateadd("dw", F.lit(2), ts).cast("string"), M.datename("DW", ts),
+        M.datepart("ns", ts), M.datediff("ns", ts, later), M.datediff("wk", ts, M.dateadd("ww", F.lit(3), ts)),
+    ).first()
+    assert tuple(row) == ("2024-02-29 10:11:12.123456", "2024-01-31 10:11:12.123454", "2024-02-02 10:11:12.123456", "Wednesday", 123456000, 9_007_199_254_740_993_000, 3)
+    with pytest.raises(ValueError):
+        M.datepart("fortnight", ts)
