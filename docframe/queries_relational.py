@@ -127,7 +127,7 @@ query("win_running", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY use
 query("win_rows", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS v, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM events")(lambda t: t.events.select("event_id", F.sum("event_id").over(_by().rowsBetween(-2, 0)).alias("v"), F.count(F.lit(1)).over(_by().rowsBetween(0, W.unboundedFollowing)).alias("c")))
 query("win_rows_empty", "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 FOLLOWING AND 3 FOLLOWING) AS BIGINT) AS v, count(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 2 PRECEDING) AS c FROM events")(lambda t: t.events.select("event_id", F.sum("event_id").over(_by().rowsBetween(2, 3)).alias("v"), F.count("event_id").over(_by().rowsBetween(-3, -2)).alias("c")))
 query("win_range_num", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS v, count(*) OVER (PARTITION BY p_brand ORDER BY p_size DESC RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS d FROM part")(lambda t: t.part.select("p_partkey", F.count(F.lit(1)).over(W.partitionBy("p_brand").orderBy("p_size").rangeBetween(-3, 1)).alias("v"), F.count(F.lit(1)).over(W.partitionBy("p_brand").orderBy(F.col("p_size").desc()).rangeBetween(-2, 0)).alias("d")))
-query("win_range_interval", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY date_trunc('millisecond', ts) RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS v FROM events")(lambda t: t.events.select("event_id", F.count(F.lit(1)).over(X.range_ms(["event_type"], "ts", 6 * 3600 * 1000, 0)).alias("v")))
+query("win_range_interval", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY date_trunc('millisecond', ts) RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS v FROM events")(lambda t: X.range_count_ms(t.events, ["event_type"], "ts", 6 * 3600 * 1000, 0, "v").select("event_id", "v"))
 query("win_groups", "SELECT p_partkey, CAST(sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS v FROM part")(lambda t: X.groups_frame(t.part, ["p_brand"], F.col("p_size"), -1, 1, "v", lambda w: F.sum("p_partkey").over(w)).select("p_partkey", "v"))
 query("win_filter", "SELECT event_id, count(*) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events")(lambda t: t.events.select("event_id", X.filtered(F.count, F.lit(1), F.col("event_type") == "click", _by()).alias("v")))
 query("win_distinct", "SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id) AS v FROM events")(lambda t: t.events.select("event_id", X.count_distinct(F.col("event_type"), W.partitionBy("user_id")).alias("v")))

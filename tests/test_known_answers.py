@@ -190,3 +190,28 @@ def test_parts_of_dates_by_short_names(spark):
     assert tuple(row) == ("2024-02-29 10:11:12.123456", "2024-01-31 10:11:12.123454", "2024-02-02 10:11:12.123456", "Wednesday", 123456000, 9_007_199_254_740_993_000, 3)
     with pytest.raises(ValueError):
         M.datepart("fortnight", ts)
+
+
+def test_range_frames_over_several_blocks(spark):
+    from docframe import catalogue
+
+    plan = catalogue.queries()["win_range_interval"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan  # Spark would count each frame anew, in one task for each event_type
+    dense = spark.range(600_000).select(F.lit("a").alias("g"), F.expr("id div 2").alias("t"))
+    half = X.range_count(dense, ["g"], F.col("t"), 100_000, 0, "v")
+    assert half.where(F.col("v") != 2 * (F.least(F.col("t"), F.lit(100_000)) + 1)).count() == 0 and half.count() == 600_000
+    whole = X.range_count(dense, [], F.col("t"), 1000, 500, "v")
+    assert whole.where(F.col("v") != 2 * (F.least(F.col("t"), F.lit(1000)) + F.least(F.lit(299_999) - F.col("t"), F.lit(500)) + 1)).count() == 0
+
+
+@pytest.mark.parametrize(("before", "after"), [(3, 0), (0, 0), (2, 4), (0, 5), (6, -2), (-1, 3)])
+def test_range_frames_with_nulls_and_peers(spark, before, after):
+    rows = [(i, None if i % 11 == 0 else "abc"[i % 3], i % 4 or None, None if i % 7 == 0 else (i * i) % 40 - 20) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g string, h int, t int")
+    got = {r.id: r.v for r in X.range_count(df, ["g", "h"], F.col("t"), before, after, "v").collect()}
+
+    def in_frame(x, t):
+        return x == t if x is None or t is None else t - before <= x <= t + after
+
+    assert got == {i: sum(1 for _, g2, h2, t2 in rows if (g2, h2) == (g, h) and in_frame(t2, t)) for i, g, h, t in rows}
+    assert X.range_count(df.where("false"), ["g"], F.col("t"), before, after, "v").collect() == []
